@@ -23,6 +23,7 @@ class Options:
     rerank_candidates: int = 20
     context_tokens: int = 4096
     answer_tokens: int = 450
+    system_chars: int = 3000  # length of the instructions sent with every question
     prompt_overhead: int = 80
     budget_margin: float = 0.05
     min_first_block: int = 256

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,7 +58,10 @@ def shared_dir(spark: SparkSession) -> str:
         return current.get()
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    return tempfile.mkdtemp(prefix="corpusloom-")
+    folder = tempfile.mkdtemp(prefix="corpusloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(folder)
+    return shared_dir(spark)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -64,3 +70,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Store a table in the shared folder and read it back.
+
+    Survives executor loss like a checkpoint, and later readers still get
+    column pruning, filters pushed to the scan and known sizes.
+    """
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -317,7 +317,8 @@ def graph_to_chunks(
     most fourteen.
     """
     keep = 2 * options.graph_edges
-    span, article = F.coalesce("source_span", F.lit("")), F.coalesce("article", F.lit(""))
+    hits = hits.withColumn("source_span", F.coalesce("source_span", F.lit("")))
+    span, article = F.col("source_span"), F.coalesce("article", F.lit(""))
     related = F.when(
         (span != "") & (F.contains(article, span) | F.contains(span, article)), 2
     ).otherwise(1)
@@ -339,12 +340,7 @@ def graph_to_chunks(
             ).alias("ids")
         )
     )
-    listed = hits.join(
-        scored,
-        (hits.tenant_id == scored.tenant_id)
-        & (hits.document_id == scored.document_id)
-        & hits.source_span.eqNullSafe(scored.source_span),
-    ).select(hits.tenant_id, "query_id", "edge_rank", "ids")
+    listed = hits.join(scored, ["tenant_id", "document_id", "source_span"])
     per_question = listed.groupBy(*TQ).agg(
         F.array_sort(F.collect_list(F.struct("edge_rank", "ids"))).alias("_e")
     )

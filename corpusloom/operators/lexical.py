@@ -60,27 +60,39 @@ def term_weight(options: Options = DEFAULTS) -> Column:
     return idf * (F.col("tf") * (options.k1 + 1) / (F.col("tf") + options.k1 * norm))
 
 
-def bm25_scores(
-    postings: DataFrame,
-    totals: DataFrame,
-    terms: DataFrame,
-    options: Options = DEFAULTS,
-) -> DataFrame:
+# Rows of question terms that may travel to every task; more are joined by shuffle.
+MAX_BROADCAST_TERMS = 1_000_000
+
+
+def bm25_scores(tokens: DataFrame, terms: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     """Score of every chunk that shares a term with a question.
 
-    The weight of a (term, chunk) does not depend on the question, so it is
-    worked out once per posting; questions meet it on (tenant, term), and the
-    sum is combined on the map side before the shuffle by (question, chunk).
+    Chunks are placed by document once. While the question terms are few enough
+    to travel, everything about a chunk then happens where it lies: term counts,
+    weights, sums, and the cut to the best of each task. With more of them the
+    same plan joins by shuffle on (tenant, term).
     """
-    frequency = document_frequency(postings)
-    weighted = (
-        postings.join(frequency, ["tenant_id", "term"])
-        .join(totals, "tenant_id")
-        .select(*CHUNK, "term", term_weight(options).alias("weight"))
+    small = terms.count() <= MAX_BROADCAST_TERMS
+    side = F.broadcast if small else (lambda df: df)
+    wanted = terms.select("tenant_id", "term").distinct()
+    seen = tokens.select("tenant_id", F.explode(F.array_distinct("tokens")).alias("term"))
+    stats = (
+        seen.join(side(wanted), ["tenant_id", "term"], "left_semi")
+        .groupBy("tenant_id", "term")
+        .agg(F.count("*").alias("df"))
+        .join(corpus_totals(tokens), "tenant_id")
     )
+    placed = tokens.repartition("tenant_id", "document_id")
+    counted = (
+        placed.select(*CHUNK, "doc_len", F.explode("tokens").alias("term"))
+        .join(side(stats), ["tenant_id", "term"])
+        .groupBy(*CHUNK, "term", "doc_len", "df", "n", "avg_len")
+        .agg(F.count("*").alias("tf"))
+    )
+    weighted = counted.select(*CHUNK, "term", term_weight(options).alias("weight"))
     return (
-        weighted.join(terms, ["tenant_id", "term"])
-        .groupBy(*TQ, "document_id", "chunk_id")
+        weighted.join(side(terms), ["tenant_id", "term"])
+        .groupBy("tenant_id", "document_id", "chunk_id", "query_id")
         .agg(F.round(F.sum("weight"), 6).alias("bm25_score"))
     )
 
@@ -93,11 +105,7 @@ def top_n(scores: DataFrame, score: str, rank: str, n: int) -> DataFrame:
 
 def bm25_search(tokens: DataFrame, questions: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     """Top chunks of each question by BM25, straight from chunk terms."""
-    terms = query_terms(questions)
-    wanted = terms.select("tenant_id", "term").distinct()
-    scores = bm25_scores(
-        bm25_postings(tokens, wanted), corpus_totals(tokens), terms, options
-    )
+    scores = bm25_scores(tokens, query_terms(questions), options)
     return top_n(scores, "bm25_score", "bm25_rank", options.candidates)
 
 

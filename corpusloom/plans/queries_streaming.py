@@ -1 +1,122 @@
-"""Registered queries."""
+"""Registered queries: streams over the given tables, run to the end of what is there."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from corpusloom.functions import text as T
+from corpusloom.operators import prepare, telemetry
+from corpusloom.plans import ingestion as ing
+from corpusloom.plans import retrieval as r
+from corpusloom.plans import workload as w
+from corpusloom.plans.registry import query
+from corpusloom.session import shared_dir
+from corpusloom.streaming import jobs
+
+
+def _stream(spark, d, name):
+    schema = w.table(spark, d, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+
+
+def _folder(spark):
+    return f"{shared_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
+
+
+def _landed(spark, stream):
+    folder = _folder(spark)
+    jobs.to_parquet(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def _ingested(spark, d):
+    folder = _folder(spark)
+    files = _stream(spark, d, "documents").select(
+        "doc_id",
+        F.col("source").alias("tenant_id"),
+        F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".md")).alias("filename"),
+        "text",
+    )
+
+    def index(docs):
+        chunks = ing.prepare_chunks(w.pages_of(docs), None)
+        return T.with_tokens(chunks.drop("body"), "text")
+
+    jobs.per_batch(files, jobs.ingest_batch(folder, index), f"{folder}/state").awaitTermination()
+    schema = T.with_tokens(ing.indexed_chunks(spark, d).drop("body"), "text").schema
+    return jobs.current_chunks(spark, folder, schema)
+
+
+@query
+def stream_ingest(spark, d):
+    return _ingested(spark, d).select("chunk_id", "tenant_id", "document_id", "chunk", T.sha_hex(F.col("text")).alias("text_hash"))
+
+
+@query
+def stream_index_refresh(spark, d):
+    return jobs.index_totals(_ingested(spark, d)).withColumn("avg_len", F.round("avg_len", 6))
+
+
+@query
+def stream_dedup_inflight(spark, d):
+    """Uploads are events: who uploads, and what the event is about."""
+    uploads = _stream(spark, d, "events").select(
+        "ts", w.event_tenant().alias("tenant_id"), F.get_json_object("props", "$.k").alias("document_id")
+    )
+    return _landed(spark, jobs.dedup_inflight(uploads, "40 days")).select("tenant_id", "document_id")
+
+
+@query
+def stream_assemble_answers(spark, d):
+    kinds = {"view": "token", "click": "token", "signup": "metadata", "purchase": "done", "error": "error"}
+    kind = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
+    events = _stream(spark, d, "events").select(
+        F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMdd")).alias("request_id"),
+        "ts",
+        F.col("event_id").alias("seq"),
+        kind[F.col("event_type")].alias("type"),
+        F.concat(F.lit(" "), F.col("event_id").cast("string")).alias("content"),
+    )
+    answers = jobs.assemble_answers(events.withWatermark("ts", "10 minutes"), "1 day")
+    return _landed(spark, answers)
+
+
+@query
+def stream_stage_metrics(spark, d):
+    stages = w.stages(_stream(spark, d, "events")).withWatermark("ts", "10 minutes")
+    out = _landed(spark, jobs.stage_metrics(stages))
+    return out.select(
+        F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "stage", "n",
+        F.round("seconds", 6).alias("seconds"), F.round("slowest", 6).alias("slowest"),
+    )
+
+
+@query
+def stream_stage_metrics_sliding(spark, d):
+    stages = w.stages(_stream(spark, d, "events")).withWatermark("ts", "10 minutes")
+    out = _landed(spark, jobs.stage_metrics(stages, "1 hour", "30 minutes"))
+    return out.select(
+        F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "stage", "n",
+        F.round("seconds", 6).alias("seconds"),
+    )
+
+
+@query
+def stream_sessions(spark, d):
+    events = _stream(spark, d, "events").withWatermark("ts", "10 minutes")
+    out = _landed(spark, telemetry.sessions(events))
+    return out.select("user_id", F.unix_millis("start").alias("start_ms"), F.unix_millis("last").alias("last_ms"), "events")
+
+
+@query
+def sessions_batch(spark, d):
+    out = telemetry.sessions(w.table(spark, d, "events"))
+    return out.select("user_id", F.unix_millis("start").alias("start_ms"), F.unix_millis("last").alias("last_ms"), "events")
+
+
+@query
+def stream_audit_sink(spark, d):
+    events = w.audit_events(_stream(spark, d, "events"))
+    return _landed(spark, jobs.audit_rows(events)).select("event_id", "tenant_id", "request_id", "action", "query_text")

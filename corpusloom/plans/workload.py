@@ -92,11 +92,7 @@ def sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark passage, phrased as a question, asked in every tenant."""
-    tenants = table(spark, sf_dir, "documents").agg(
-        F.array_sort(F.collect_set("source")).alias("tenants")
-    )
-    number = (F.col("item_id") % 400 + 1).cast("string")
-    year = (F.col("item_id") % 35 + 1990).cast("string")
+    tenants = table(spark, sf_dir, "documents").agg(F.array_sort(F.collect_set("source")))
     phrase = F.expr(
         """CASE item_id % 5
              WHEN 0 THEN concat('O que diz o art. ', cast(item_id % 7 + 1 AS string), ' da RDC ', cast(item_id % 400 + 1 AS string), '/', cast(item_id % 35 + 1990 AS string), '? ')
@@ -105,9 +101,90 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
              WHEN 3 THEN 'Requisitos de qualidade da anvisa: '
              ELSE '' END"""
     )
-    del number, year
-    asked = table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("query_id"), F.concat(phrase, F.col("text")).alias("question")
+    return table(spark, sf_dir, "benchmark").select(
+        F.explode(tenants.scalar()).alias("tenant_id"),
+        F.col("item_id").alias("query_id"),
+        F.concat(phrase, F.col("text")).alias("question"),
+    )
+
+
+def event_tenant():
+    return F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string"))
+
+
+def stages(events: DataFrame) -> DataFrame:
+    """Stage timings read off the event log: kind of event and its value in milliseconds."""
+    return events.select("ts", F.col("event_type").alias("stage"), (F.col("value") / 1000.0).alias("seconds"))
+
+
+ACTIONS = {
+    "view": "chat.requested",
+    "click": "chat.completed",
+    "purchase": "document.upload.requested",
+    "signup": "document.upload.completed",
+    "error": "chat.failed",
+}
+
+
+def audit_events(events: DataFrame) -> DataFrame:
+    """Audit log read off the event log; a user's events of one day share a request."""
+    action = F.create_map(*[F.lit(x) for pair in ACTIONS.items() for x in pair])
+    return events.select(
+        "event_id",
+        F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMdd")).alias("request_id"),
+        event_tenant().alias("tenant_id"),
+        action[F.col("event_type")].alias("action"),
+        F.col("props").alias("query_text"),
+        F.col("ts").alias("created_at"),
+        F.col("value").alias("duration_ms"),
+    )
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistant turns with citations appended, in the tenant of the document they talk about."""
+    suffix = (
+        F.when(F.col("conv_id") % 4 == 0, " [Fonte 1].")
+        .when(F.col("conv_id") % 4 == 1, " [Fontes 1, 3]. O estabelecimento deve manter registro.")
+        .when(F.col("conv_id") % 4 == 2, " Conforme [Fonte 9].")
+        .otherwise("")
     )
-    per_tenant = tenants.select(F.explode("tenants").alias("tenant_id"))
-    return asked.join(F.broadcast(per_tenant), F.lit(True)).select("tenant_id", "query_id", "question")
+    turns = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
+    docs = raw_documents(spark, sf_dir).select(
+        "tenant_id", "document_id", F.col("doc_id").alias("conv_id")
+    )
+    return turns.join(docs, "conv_id").select(
+        "tenant_id",
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"),
+        "document_id",
+        F.col("conv_id"),
+        F.concat("text", suffix).alias("answer"),
+        F.when(F.col("conv_id") % 6 == 0, "length").otherwise("stop").alias("done_reason"),
+        (3000 + (F.col("conv_id") * 37 + F.col("turn") * 11) % 1200).alias("prompt_eval_count"),
+    )
+
+
+def answer_contexts(spark: SparkSession, sf_dir: str, chunks: DataFrame) -> DataFrame:
+    """The first four chunks of the document an answer talks about."""
+    first = chunks.filter("chunk <= 4").select(
+        "tenant_id", "document_id", "chunk", "status", "regulation_number", "article", "filename"
+    )
+    asked = answers(spark, sf_dir).select("tenant_id", "answer_id", "document_id", "conv_id")
+    norm = F.when(F.col("chunk") == 3, F.concat(F.lit("Lei "), F.col("conv_id").cast("string"))).otherwise(
+        F.col("regulation_number")
+    )
+    return asked.join(first, ["tenant_id", "document_id"]).select(
+        "tenant_id",
+        "answer_id",
+        F.col("chunk").cast("int").alias("source_no"),
+        F.round(0.4 + 0.1 * ((F.col("conv_id") + F.col("chunk")) % 6), 6).alias("score"),
+        "status",
+        norm.alias("regulation_number"),
+        F.when(F.col("conv_id") % 5 == 0, F.lit("Art. 1")).otherwise(F.col("article")).alias("article"),
+        "filename",
+    )
+
+
+def deleted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose label marks them as unwanted."""
+    bad = table(spark, sf_dir, "labels").filter("quality = 0").select("doc_id")
+    return raw_documents(spark, sf_dir).join(bad, "doc_id", "left_semi").select("tenant_id", "document_id", "doc_id").distinct()

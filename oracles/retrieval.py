@@ -142,10 +142,10 @@ SQL["select_context"] = "SELECT tenant_id, query_id, source_no, chunk_id FROM se
 SQL["hybrid_retrieve"] = """
 SELECT tenant_id, query_id, source_no, chunk_id, filename, vector_score, round(lexical_score, 6) AS lexical_score, exact_reference FROM selected"""
 SQL["source_projection"] = """
-SELECT tenant_id, query_id, source_no, filename AS document, page, chunk, round_even(vector_score, 4) AS score, round_even(lexical_score, 4) AS lexical_score,
+SELECT tenant_id, query_id, source_no, filename AS document, page, chunk, (k // 100 + CASE WHEN k % 100 > 50 OR (k % 100 = 50 AND (k // 100) % 2 = 1) THEN 1 ELSE 0 END) / 1e4 AS score, round(lexical_score, 4) AS lexical_score,
   left(text, 600) AS excerpt, authority, regulation_number, publication_date, effective_date, status,
   CASE status WHEN 'vigente_confirmada' THEN 'Vigencia confirmada' WHEN 'revogada_confirmada' THEN 'Revogada (confirmado)' ELSE 'Vigencia nao verificada' END AS status_label,
-  article, section, source_url, document_version, false AS cited FROM selected"""
+  article, section, source_url, document_version, false AS cited FROM (SELECT *, cast(round(vector_score * 1e6) AS bigint) AS k FROM selected)"""
 CTES["ctx_blocks"] = "SELECT tenant_id, query_id, source_no, concat('[Fonte ', cast(source_no AS varchar), ']', chr(10), text) AS block FROM selected"
 _cb, _ = sanitized("block")
 SQL["context_blocks"] = f"""
@@ -162,7 +162,7 @@ SELECT *, running > available AS trunc, CASE WHEN running <= available OR length
   regexp_replace(CASE WHEN greatest({_rf("'. '")}, {_rf("'.' || chr(10)")}, {_rf("chr(10)")}) >= lim * 0.5 THEN left(cut, greatest({_rf("'. '")}, {_rf("'.' || chr(10)")}, {_rf("chr(10)")}) + 1) ELSE cut END, '\\s+\\z', '')
   || chr(10) || '[trecho cortado para caber no contexto]' END AS kb FROM cuts"""
 CTES["rel_blocks"] = """
-SELECT tenant_id, query_id, '[Relações KAG — orientação; confirme sempre pelas Fontes]' || chr(10) || string_agg(concat(source_name, ' → ', relation, ' → ', target_name, ' (fonte: ', filename, '; status: ', validation_status, ')'), chr(10) ORDER BY edge_rank) AS rel
+SELECT tenant_id, query_id, '[Relações KAG — orientação; confirme sempre pelas Fontes]' || chr(10) || string_agg(concat(source_name, ' → ', edges.relation, ' → ', target_name, ' (fonte: ', filename, '; status: ', validation_status, ')'), chr(10) ORDER BY edge_rank) AS rel
 FROM g_search JOIN edges USING (tenant_id, edge_id) GROUP BY ALL"""
 SQL["fit_context"] = f"""
 SELECT k.tenant_id, k.query_id, 2048 AS context_tokens, available AS available_tokens,

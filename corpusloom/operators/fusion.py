@@ -49,7 +49,8 @@ def rrf_fuse(
         )
     if graph_hits is not None:
         lists = lists.unionByName(ranked(graph_hits, 3, "graph_rank", graph=F.col("score")))
-    fused = lists.groupBy(*KEY).agg(
+    # One exchange by question serves the sums here and every window after.
+    fused = lists.repartition(*TQ).groupBy(*KEY).agg(
         F.round(F.sum("share"), 9).alias("rrf_score"),
         F.coalesce(F.max("vector"), F.max("cosine"), F.max("graph"), F.lit(0.0)).alias("vector_score"),
         F.coalesce(F.max("bm25"), F.lit(0.0)).alias("bm25_score"),

@@ -104,9 +104,40 @@ def request_pairs(events: DataFrame) -> DataFrame:
 
 
 def sessions(events: DataFrame, gap_minutes: int = 20) -> DataFrame:
-    """Activity sessions of each user: a pause longer than the idle limit starts a new one."""
+    """Activity sessions of each user: a pause as long as the idle limit starts a new one."""
     return (
         events.groupBy("user_id", F.session_window("ts", f"{gap_minutes} minutes").alias("w"))
         .agg(F.count("*").alias("events"), F.max("ts").alias("last"))
         .select("user_id", F.col("w.start").alias("start"), "last", "events")
     )
+
+
+def _runs(rows: DataFrame, keys: list[str], gap_us: int) -> DataFrame:
+    """Merge (start, last, events) rows of a key whose pauses stay under the gap."""
+    order = Window.partitionBy(*keys).orderBy("start", "last")
+    before = Window.partitionBy(*keys).orderBy("start", "last").rowsBetween(Window.unboundedPreceding, -1)
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    reached = F.max(F.unix_micros("last")).over(before)
+    fresh = reached.isNull() | (F.unix_micros("start") - reached >= gap_us)
+    numbered = rows.withColumn("_new", fresh.cast("int")).withColumn("_run", F.sum("_new").over(upto))
+    return numbered.groupBy(*keys, "_run").agg(
+        F.min("start").alias("start"), F.max("last").alias("last"), F.sum("events").alias("events")
+    ).drop("_run")
+
+
+def sessions_batch(events: DataFrame, gap_minutes: int = 20) -> DataFrame:
+    """Batch twin of ``sessions`` that spreads a busy user over many tasks.
+
+    Events first form runs inside each (user, hour); at most a few runs are left
+    per hour, and only those are merged per user.
+    """
+    gap = gap_minutes * 60_000_000
+    rows = events.select(
+        "user_id",
+        F.date_trunc("hour", "ts").alias("_hour"),
+        F.col("ts").alias("start"),
+        F.col("ts").alias("last"),
+        F.lit(1).cast("long").alias("events"),
+    )
+    hourly = _runs(rows, ["user_id", "_hour"], gap).drop("_hour")
+    return _runs(hourly, ["user_id"], gap)

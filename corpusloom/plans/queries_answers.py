@@ -107,7 +107,7 @@ def keyword_coverage(spark, d):
 
 @query
 def generation_summary(spark, d):
-    e = w.table(spark, d, "events")
+    e = w.timed(w.table(spark, d, "events"))
     i = F.col("event_id")
     results = e.select(
         F.col("event_type").alias("group"),
@@ -131,7 +131,7 @@ def generation_summary(spark, d):
 
 
 def _audit(spark, d):
-    return w.audit_events(w.table(spark, d, "events"))
+    return w.audit_events(w.timed(w.table(spark, d, "events")))
 
 
 @query
@@ -151,7 +151,7 @@ def recent_audit(spark, d):
 
 @query
 def stage_histogram(spark, d):
-    return telemetry.stage_histogram(w.stages(w.table(spark, d, "events")))
+    return telemetry.stage_histogram(w.stages(w.timed(w.table(spark, d, "events"))))
 
 
 @query
@@ -162,7 +162,7 @@ def outcome_counts(spark, d):
 
 @query
 def model_throughput(spark, d):
-    calls = w.table(spark, d, "events").select(
+    calls = w.timed(w.table(spark, d, "events")).select(
         "event_id",
         (F.col("value") * 1_000_000_000).cast("long").alias("total_duration"),
         F.when(F.col("event_id") % 3 > 0, (F.col("value") * 1_000_000).cast("long")).alias("load_duration"),
@@ -176,7 +176,7 @@ def model_throughput(spark, d):
 
 @query
 def feedback_join(spark, d):
-    events = w.table(spark, d, "events").select(
+    events = w.timed(w.table(spark, d, "events")).select(
         F.lit("base").alias("tenant_id"), F.col("event_id").cast("string").alias("request_id"),
         F.col("event_type").alias("stage"),
     )

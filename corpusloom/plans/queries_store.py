@@ -264,7 +264,7 @@ def write_report(spark, d):
 @query
 def write_ndjson_events(spark, d):
     folder = _folder(spark, "events")
-    events = w.audit_events(w.table(spark, d, "events")).select("event_id", "request_id", "action")
+    events = w.audit_events(w.timed(w.table(spark, d, "events"))).select("event_id", "request_id", "action")
     sinks.write_ndjson_events(events, folder)
     return spark.read.schema(events.schema).json(folder)
 
@@ -272,7 +272,7 @@ def write_ndjson_events(spark, d):
 @query
 def append_audit(spark, d):
     folder = _folder(spark, "audit")
-    events = w.audit_events(w.table(spark, d, "events"))
+    events = w.audit_events(w.timed(w.table(spark, d, "events")))
     sinks.append_audit(events.filter("action like 'chat%'"), folder)
     sinks.append_audit(events.filter("action not like 'chat%'"), folder)
     return spark.read.schema(events.schema).parquet(folder).select("event_id", "tenant_id", "request_id", "action")

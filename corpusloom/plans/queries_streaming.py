@@ -18,7 +18,8 @@ from corpusloom.streaming import jobs
 
 def _stream(spark, d, name):
     schema = w.table(spark, d, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    return w.timed(rows) if "ts" in rows.columns else rows
 
 
 def _folder(spark):
@@ -107,13 +108,13 @@ def stream_stage_metrics_sliding(spark, d):
 def stream_sessions(spark, d):
     events = _stream(spark, d, "events").withWatermark("ts", "10 minutes")
     out = _landed(spark, telemetry.sessions(events))
-    return out.select("user_id", F.unix_millis("start").alias("start_ms"), F.unix_millis("last").alias("last_ms"), "events")
+    return out.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("last").alias("last_us"), "events")
 
 
 @query
 def sessions_batch(spark, d):
-    out = telemetry.sessions(w.table(spark, d, "events"))
-    return out.select("user_id", F.unix_millis("start").alias("start_ms"), F.unix_millis("last").alias("last_ms"), "events")
+    out = telemetry.sessions_batch(w.timed(w.table(spark, d, "events")))
+    return out.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("last").alias("last_us"), "events")
 
 
 @query

@@ -108,6 +108,11 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def timed(events: DataFrame) -> DataFrame:
+    """Event times as instants (the log stores them in UTC without a zone)."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def event_tenant():
     return F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string"))
 

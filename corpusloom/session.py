@@ -18,6 +18,11 @@ RUNTIME_CONF = {
     # Repeated front-matter keys: the last line wins.
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # A union must not claim its inputs' partitioning: adaptive execution may coalesce
+    # each input differently, and a grouping above would then see a key twice.
+    "spark.sql.unionOutputPartitioning": "false",
+    # Sessions of a busy key are merged in each task before the shuffle.
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 

@@ -128,10 +128,10 @@ CTES["gaps"] = """
 SELECT *, sum(CASE WHEN prev IS NULL OR ts >= prev + INTERVAL 20 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (
  SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)"""
 CTES["sess"] = "SELECT user_id, min(ts) AS a, max(ts) AS b, count(*) AS events FROM gaps GROUP BY user_id, s"
-_ms = lambda c: f"epoch_ms({c})"
-SQL["sessions_batch"] = f"SELECT user_id, {_ms('a')} AS start_ms, {_ms('b')} AS last_ms, events FROM sess"
+_ms = lambda c: f"epoch_us({c})"
+SQL["sessions_batch"] = f"SELECT user_id, {_ms('a')} AS start_us, {_ms('b')} AS last_us, events FROM sess"
 CTES["mark"] = "SELECT max(ts) - INTERVAL 10 MINUTE AS m FROM events"
-SQL["stream_sessions"] = f"SELECT user_id, {_ms('a')} AS start_ms, {_ms('b')} AS last_ms, events FROM sess, mark WHERE b + INTERVAL 20 MINUTE <= m"
+SQL["stream_sessions"] = f"SELECT user_id, {_ms('a')} AS start_us, {_ms('b')} AS last_us, events FROM sess, mark WHERE b + INTERVAL 20 MINUTE <= m"
 SQL["stream_stage_metrics"] = """
 SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, stage, count(*) AS n, round(sum(v), 6) AS seconds, round(max(v), 6) AS slowest
 FROM (SELECT date_trunc('hour', ts) AS s, event_type AS stage, value / 1000.0::double AS v FROM events), mark WHERE s + INTERVAL 1 HOUR <= m GROUP BY ALL"""

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from corpusloom.functions import patterns as P
-from oracles.ctes import CTES, lit
+from oracles.ctes import CTES
+from oracles.documents import tokens
 
 SQL: dict[str, str] = {}
 
@@ -70,4 +70,5 @@ SELECT c.*, regexp_replace(c.text, '(?m)^Status informado:.*$', 'Status informad
 CTES["taken"] = "SELECT tenant_id, document_id FROM uniq_docs WHERE length(text) >= 40 AND NOT contains(left(text, 8192), chr(0))"
 SQL["stream_ingest"] = """
 SELECT chunk_id, tenant_id, document_id, chunk, sha256(plain) AS text_hash FROM plain_text SEMI JOIN taken USING (tenant_id, document_id)"""
-CTES["taken_lens"] = "SELECT l.tenant_id, l.doc_len FROM lens l JOIN chunks_full c USING (tenant_id, chunk_id) SEMI JOIN taken ON taken.tenant_id = c.tenant_id AND taken.document_id = c.document_id"
+SQL["stream_index_refresh"] = f"""
+SELECT tenant_id, count(*) AS n, round(avg(len({tokens('plain')})), 6) AS avg_len FROM plain_text SEMI JOIN taken USING (tenant_id, document_id) GROUP BY ALL"""

@@ -70,8 +70,8 @@ def _with_budget(blocks: DataFrame, questions: DataFrame, options: Options) -> D
     return costed.withColumn("running", F.sum("cost").over(w))
 
 
-def fit_blocks(blocks: DataFrame, questions: DataFrame, options: Options = DEFAULTS) -> DataFrame:
-    """The longest prefix of blocks that fits; the first is cut rather than lost.
+def mark_blocks(blocks: DataFrame, questions: DataFrame, options: Options = DEFAULTS) -> DataFrame:
+    """Which blocks stay: the longest prefix that fits; the first is cut rather than lost.
 
     Costs are positive, so a block fits exactly when the running sum does.
     """
@@ -80,13 +80,19 @@ def fit_blocks(blocks: DataFrame, questions: DataFrame, options: Options = DEFAU
     limit = F.floor(allowed * F.lit(options.chars_per_token)).cast("int")
     fits = F.col("running") <= F.col("available_tokens")
     oversize = (F.col("source_no") == 1) & ~fits
-    return (
-        costed.withColumn("truncated_first", oversize)
-        .filter(fits | oversize)
-        .withColumn("kept_block", F.when(oversize, truncated(F.col("block"), limit)).otherwise(F.col("block")))
+    return costed.withColumns(
+        {
+            "truncated_first": oversize,
+            "kept_block": F.when(fits, F.col("block")).when(oversize, truncated(F.col("block"), limit)),
+        }
     )
 
 
+def fit_blocks(blocks: DataFrame, questions: DataFrame, options: Options = DEFAULTS) -> DataFrame:
+    """The blocks that go into the prompt, as they go."""
+    return mark_blocks(blocks, questions, options).filter("kept_block IS NOT NULL")
+
+
 def fit_context(
     blocks: DataFrame,
     questions: DataFrame,
@@ -95,16 +101,15 @@ def fit_context(
 ) -> DataFrame:
     """The budget decision of each question that has blocks."""
     ratio = options.chars_per_token
-    kept = fit_blocks(blocks, questions, options)
-    per_kept = kept.groupBy(*TQ).agg(
+    kept = F.col("kept_block").isNotNull()
+    joined = mark_blocks(blocks, questions, options).groupBy(*TQ).agg(
         F.first("fixed").alias("fixed"),
         F.first("available_tokens").alias("available_tokens"),
-        F.sum(T.estimate_tokens(F.col("kept_block"), ratio) + 1).alias("used"),
-        F.count("*").alias("kept_chunks"),
+        F.sum(F.when(kept, T.estimate_tokens(F.col("kept_block"), ratio) + 1)).alias("used"),
+        F.count_if(kept).alias("kept_chunks"),
+        F.count_if(~kept).alias("dropped_chunks"),
         F.bool_or("truncated_first").alias("truncated_first"),
     )
-    total = blocks.groupBy(*TQ).agg(F.count("*").alias("_blocks"))
-    joined = per_kept.join(total, TQ)
     if relations is None:
         joined = joined.withColumn("relations", F.lit(None).cast("string"))
     else:
@@ -118,7 +123,7 @@ def fit_context(
         "available_tokens",
         (F.col("fixed") + F.col("used") + F.when(fits, extra).otherwise(0)).alias("estimated_prompt_tokens"),
         "kept_chunks",
-        (F.col("_blocks") - F.col("kept_chunks")).alias("dropped_chunks"),
+        "dropped_chunks",
         "truncated_first",
         (asked & ~fits).alias("relations_dropped"),
     )

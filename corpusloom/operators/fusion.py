@@ -114,10 +114,12 @@ def dedup_candidates(candidates: DataFrame, options: Options = DEFAULTS) -> Data
     """Keep a candidate unless it repeats one already kept.
 
     Greedy in rank order, so it folds over the candidates of one question: at
-    most three lists of a dozen.
+    most three lists of a dozen, gathered with all their columns so that nothing
+    is joined back.
     """
-    item = F.struct("rank", "chunk_id", "document_id", "chunk", "tokens")
-    listed = candidates.groupBy(*TQ).agg(F.array_sort(F.collect_list(item)).alias("_c"))
+    rest = [c for c in candidates.columns if c not in (*TQ, "rank")]
+    item = F.struct("rank", *rest)
+    listed = candidates.groupBy(*TQ).agg(F.array_sort(F.collect_list(item), _by_rank).alias("_c"))
 
     def repeats(kept: Column, new: Column) -> Column:
         def same(old: Column) -> Column:
@@ -136,8 +138,11 @@ def dedup_candidates(candidates: DataFrame, options: Options = DEFAULTS) -> Data
         F.slice("_c", 1, 0),
         lambda acc, x: F.when(repeats(acc, x), acc).otherwise(F.concat(acc, F.array(x))),
     )
-    survivors = listed.select(*TQ, F.explode(kept).alias("k")).select(*TQ, F.col("k.chunk_id").alias("chunk_id"))
-    return candidates.join(survivors, KEY, "left_semi")
+    return listed.select(*TQ, F.explode(kept).alias("k")).select(*TQ, "k.*").select(*candidates.columns)
+
+
+def _by_rank(left: Column, right: Column) -> Column:
+    return F.when(left["rank"] < right["rank"], -1).when(left["rank"] > right["rank"], 1).otherwise(0)
 
 
 def select_context(candidates: DataFrame, options: Options = DEFAULTS) -> DataFrame:

@@ -118,12 +118,18 @@ VARIANTS = (("vector", False, False), ("hybrid", True, False), ("hybrid_kag", Tr
 
 
 def ablation(spark: SparkSession, sf_dir: str, options: Options = DEFAULTS) -> DataFrame:
-    """Outcome of every question with vectors, with words added, with the graph added."""
+    """Outcome of every question with vectors, with words added, with the graph added.
+
+    The three rankings are worked out once and stored; variants only fuse them.
+    """
     st, q = r.store(spark, sf_dir), w.questions(spark, sf_dir)
     gold = r.gold_documents(spark, sf_dir)
+    lists = r.ranked_lists(st, q, options=options)
+    near, words, graph_found = written(lists.near), written(lists.words), written(lists.found)
     found = None
     for position, (name, use_bm25, use_graph) in enumerate(VARIANTS):
-        selected = r.hybrid_retrieve(st, q, use_bm25, use_graph, options).select(
+        mine = r.Lists(near, words if use_bm25 else None, graph_found if use_graph else None)
+        selected = fusion.select_context(r.fuse_lists(st, q, mine, options), options).select(
             F.lit(position).alias("position"), F.lit(name).alias("variant"),
             *TQ, F.col("source_no").alias("rank"), F.col("filename").alias("document"),
         )

@@ -11,6 +11,7 @@ from corpusloom.plans import evaluation as ev
 from corpusloom.plans import retrieval as r
 from corpusloom.plans import workload as w
 from corpusloom.plans.registry import query
+from corpusloom.session import written
 
 TQ = ["tenant_id", "query_id"]
 
@@ -307,7 +308,7 @@ def merge_document_lists(spark, d):
 @query
 def query_trace(spark, d):
     st, q = r.store(spark, d), w.questions(spark, d)
-    selected = r.hybrid_retrieve(st, q)
+    selected = written(r.hybrid_retrieve(st, q).drop("tokens", "text"))
     assessed = planning.assess_evidence(q, selected)
     return planning.query_trace(planning.plan_queries(q), selected, assessed)
 

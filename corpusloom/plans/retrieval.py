@@ -69,14 +69,23 @@ def graph_candidates(
     return hits, graph.graph_to_chunks(hits, st.chunks, options)
 
 
-def candidates(
+@dataclass(frozen=True)
+class Lists:
+    """The ranked lists of a question table, a dozen rows each per question."""
+
+    near: DataFrame
+    words: DataFrame | None = None
+    found: DataFrame | None = None
+
+
+def ranked_lists(
     st: Store,
     questions: DataFrame,
     use_bm25: bool = True,
     use_graph: bool = True,
     options: Options = DEFAULTS,
-) -> DataFrame:
-    """Fused, described and flagged candidates in rank order."""
+) -> Lists:
+    """Vector, lexical and graph rankings, independent of one another."""
     asked = vectors.embed_chunks(questions, "question")
     near = vectors.cosine_topk(st.chunks, asked, options)
     words = found = None
@@ -86,11 +95,26 @@ def candidates(
         words = vectors.with_cosine(hits, st.chunks, asked)
     if use_graph:
         _, found = graph_candidates(st, questions, options)
-    fused = fusion.rrf_fuse(near, words, found, options=options)
+    return Lists(near, words, found)
+
+
+def fuse_lists(st: Store, questions: DataFrame, lists: Lists, options: Options = DEFAULTS) -> DataFrame:
+    """Fused, described and flagged candidates in rank order."""
+    fused = fusion.rrf_fuse(lists.near, lists.words, lists.found, options=options)
     described = fusion.describe(fused, st.chunks.drop("embedding", "body", "embedding_model"))
     return fusion.exact_reference(described, questions)
 
 
+def candidates(
+    st: Store,
+    questions: DataFrame,
+    use_bm25: bool = True,
+    use_graph: bool = True,
+    options: Options = DEFAULTS,
+) -> DataFrame:
+    return fuse_lists(st, questions, ranked_lists(st, questions, use_bm25, use_graph, options), options)
+
+
 def hybrid_retrieve(
     st: Store,
     questions: DataFrame,

@@ -69,14 +69,6 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_dir(spark)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: computed once, replayable after executor loss."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame) -> DataFrame:
     """Store a table in the shared folder and read it back.
 

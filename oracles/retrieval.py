@@ -91,17 +91,23 @@ SELECT tenant_id, CASE WHEN tenant_id = 'src7' AND count(*) FILTER (page = 2) >
 
 # ------------------------------------------------------------------ fusion
 
-CTES["fused"] = """
+_LISTS = (
+    "SELECT tenant_id, query_id, chunk_id, 1 AS source, 1.0::double / (60 + vector_rank) AS share, score AS vector, NULL::double AS cosine, NULL::double AS graph, NULL::double AS lexical FROM vec_hits",
+    "SELECT b.tenant_id, b.query_id, b.chunk_id, 2, 1.0::double / (60 + bm25_rank), NULL, c.score, NULL, lexical_score FROM bm25_hits b LEFT JOIN cos_all c USING (tenant_id, query_id, chunk_id)",
+    "SELECT tenant_id, query_id, chunk_id, 3, 1.0::double / (60 + graph_rank), NULL, NULL, score, NULL FROM graph_hits",
+)
+
+
+def _fused(lists: int) -> str:
+    return f"""
 SELECT *, cast(row_number() OVER (PARTITION BY tenant_id, query_id ORDER BY rrf_score DESC, first_list, chunk_id) AS int) AS rank FROM (
  SELECT tenant_id, query_id, chunk_id, round(sum(share), 9) AS rrf_score,
    coalesce(max(vector), max(cosine), max(graph), 0.0::double) AS vector_score,
-   coalesce(max(lexical), 0.0::double) AS lexical_score, min(source) AS first_list FROM (
-  SELECT tenant_id, query_id, chunk_id, 1 AS source, 1.0::double / (60 + vector_rank) AS share, score AS vector, NULL::double AS cosine, NULL::double AS graph, NULL::double AS lexical FROM vec_hits
-  UNION ALL
-  SELECT b.tenant_id, b.query_id, b.chunk_id, 2, 1.0::double / (60 + bm25_rank), NULL, c.score, NULL, lexical_score FROM bm25_hits b LEFT JOIN cos_all c USING (tenant_id, query_id, chunk_id)
-  UNION ALL
-  SELECT tenant_id, query_id, chunk_id, 3, 1.0::double / (60 + graph_rank), NULL, NULL, score, NULL FROM graph_hits)
+   coalesce(max(lexical), 0.0::double) AS lexical_score, min(source) AS first_list FROM ({" UNION ALL ".join(_LISTS[:lists])})
  GROUP BY ALL)"""
+
+
+CTES["fused"] = _fused(3)
 SQL["rrf_fuse"] = """
 SELECT tenant_id, query_id, chunk_id, round(rrf_score, 6) AS rrf_score, vector_score, round(lexical_score, 6) AS lexical_score, rank FROM fused"""
 
@@ -295,3 +301,35 @@ SQL["variant_summary"] = "SELECT * FROM summaries"
 SQL["compare_variants"] = """
 SELECT f AS from_variant, variant AS to_variant, round(recall_at_5 - p, 3) AS recall_delta FROM (
  SELECT *, lag(variant) OVER (ORDER BY position) AS f, lag(recall_at_5) OVER (ORDER BY position) AS p FROM summaries) WHERE f IS NOT NULL"""
+
+for _i, _v in enumerate(("va", "vb", "vc")):
+    CTES[f"{_v}_fused"] = _fused(_i + 1)
+    CTES[f"{_v}_cands"] = _candidates(f"{_v}_fused")
+    CTES[f"{_v}_rel"] = f"SELECT * FROM {_v}_cands WHERE vector_score >= 0.45 OR (exact_reference AND lexical_score >= 0.5)"
+    CTES[f"{_v}_kept"] = _dedup(f"{_v}_rel")
+    CTES[f"{_v}_sel"] = f"""
+SELECT * FROM (SELECT tenant_id, query_id, filename AS document, cast(row_number() OVER (PARTITION BY tenant_id, query_id ORDER BY rank) AS int) AS rank
+FROM {_v}_rel JOIN {_v}_kept USING (tenant_id, query_id, chunk_id)) WHERE rank <= 4"""
+    _metrics(_v, f"{_v}_sel")
+SQL["ablation"] = " UNION ALL ".join(
+    f"""SELECT {i} AS position, '{n}' AS variant, count(*) AS cases_total, 0 AS cases_errored, round(avg((hit_rate > 0)::int), 3) AS recall_at_5,
+  count(hit_rate) AS recall_evaluated, round(avg(mrr), 3) AS mrr, round(avg(coalesce(k, 0)), 2) AS selected_mean
+FROM {v}_metrics LEFT JOIN (SELECT tenant_id, query_id, count(*) AS k FROM {v}_sel GROUP BY ALL) USING (tenant_id, query_id)"""
+    for i, (n, v) in enumerate((("vector", "va"), ("hybrid", "vb"), ("hybrid_kag", "vc")))
+)
+from oracles.ctes import _chunks, _pieces  # noqa: E402
+
+_cells = [(c, o) for c in (1400, 1900, 2400) for o in (200, 285, 400)]
+for _c, _o in _cells:
+    CTES[f"s_pieces_{_c}_{_o}"] = _pieces("blocks", _c, _o)
+    CTES[f"s_chunks_{_c}_{_o}"] = _chunks(f"s_pieces_{_c}_{_o}")
+_made = " UNION ALL ".join(
+    f"SELECT {c} AS c, {o} AS o, count(*) AS n, max(length(body)) AS m FROM s_chunks_{c}_{o}" for c, o in _cells
+)
+_judged = " UNION ALL ".join(
+    f"SELECT {s}::double AS s, count(DISTINCT tenant_id || '|' || query_id) AS a FROM cands WHERE vector_score >= {s} OR (exact_reference AND lexical_score >= 0.5)"
+    for s in (0.35, 0.45, 0.55, 0.65)
+)
+SQL["parameter_sweep"] = f"""
+SELECT s AS min_relevance_score, c AS chunk_chars, o AS chunk_overlap_chars, concat('sweep_', c, '_', o, '_', cast(trunc(s * 100) AS int)) AS collection_name,
+  n AS chunks, cast(m AS int) AS longest, a AS answerable FROM ({_made}), ({_judged})"""

@@ -23,7 +23,7 @@ def extract_citations(answer: Column) -> Column:
 def context_arrays(contexts: DataFrame) -> DataFrame:
     """Sources of each answer as one ordered array: the few blocks of its prompt."""
     item = F.struct("source_no", "score", "status", "regulation_number", "article", "filename")
-    return contexts.groupBy(*KEY).agg(F.array_sort(F.collect_list(item)).alias("sources"))
+    return contexts.groupBy(*KEY).agg(F.sort_array(F.collect_list(item)).alias("sources"))
 
 
 def citation_validity(answers: DataFrame, contexts: DataFrame) -> DataFrame:

@@ -101,7 +101,7 @@ def carry_context(classified: DataFrame) -> DataFrame:
 
 def segment_blocks(carried: DataFrame) -> DataFrame:
     """Lines between boundaries, with the context of the first one."""
-    lines = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    lines = F.sort_array(F.collect_list(F.struct("line_no", "line")))
     context = F.struct(*FIELDS)
     return (
         carried.groupBy(*PAGE, "block_no")

@@ -24,7 +24,7 @@ def context_blocks(selected: DataFrame) -> DataFrame:
 
 def joined_context(blocks: DataFrame) -> DataFrame:
     """The whole sanitized context of each question (a handful of blocks)."""
-    ordered = F.array_sort(F.collect_list(F.struct("source_no", "clean_block")))
+    ordered = F.sort_array(F.collect_list(F.struct("source_no", "clean_block")))
     return blocks.groupBy(*TQ).agg(
         F.array_join(F.transform(ordered, lambda s: s["clean_block"]), "\n\n").alias("context"),
         F.count("*").cast("int").alias("blocks"),
@@ -48,7 +48,7 @@ def truncated(text: Column, limit: Column) -> Column:
 
 def relation_blocks(relations: DataFrame) -> DataFrame:
     """One text per question from its edge lines (at most eight)."""
-    ordered = F.array_sort(F.collect_list(F.struct("edge_rank", "line")))
+    ordered = F.sort_array(F.collect_list(F.struct("edge_rank", "line")))
     return relations.groupBy(*TQ).agg(
         F.concat(
             F.lit(RELATIONS_TITLE + "\n"),

@@ -119,7 +119,7 @@ def dedup_candidates(candidates: DataFrame, options: Options = DEFAULTS) -> Data
     """
     rest = [c for c in candidates.columns if c not in (*TQ, "rank")]
     item = F.struct("rank", *rest)
-    listed = candidates.groupBy(*TQ).agg(F.array_sort(F.collect_list(item), _by_rank).alias("_c"))
+    listed = candidates.groupBy(*TQ).agg(F.sort_array(F.collect_list(item)).alias("_c"))
 
     def repeats(kept: Column, new: Column) -> Column:
         def same(old: Column) -> Column:
@@ -141,10 +141,6 @@ def dedup_candidates(candidates: DataFrame, options: Options = DEFAULTS) -> Data
     return listed.select(*TQ, F.explode(kept).alias("k")).select(*TQ, "k.*").select(*candidates.columns)
 
 
-def _by_rank(left: Column, right: Column) -> Column:
-    return F.when(left["rank"] < right["rank"], -1).when(left["rank"] > right["rank"], 1).otherwise(0)
-
-
 def select_context(candidates: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     """Relevant, not repeated, first few; numbered as sources."""
     w = Window.partitionBy(*TQ).orderBy("rank")

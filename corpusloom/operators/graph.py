@@ -160,11 +160,12 @@ def edge_status(edges: DataFrame) -> DataFrame:
     return edges.withColumn("validation_status", F.when(sure, VALIDATED).otherwise(PENDING))
 
 
-def extract_edges(
-    meta: DataFrame, chunks: DataFrame, extra: DataFrame | None = None
-) -> DataFrame:
-    """All edges of the documents, one row per edge and document."""
-    hits = topic_hits(chunks)
+def extract_edges(meta: DataFrame, hits: DataFrame, extra: DataFrame | None = None) -> DataFrame:
+    """All edges of the documents, one row per edge and document.
+
+    ``hits`` are the ``topic_hits`` of the heads; ``extra`` edges of another
+    extractor, in the same columns.
+    """
     edges = (
         edges_from_metadata(meta)
         .unionByName(edges_from_topics(hits, meta))
@@ -336,13 +337,13 @@ def graph_to_chunks(
         .groupBy("tenant_id", "document_id", "source_span")
         .agg(
             F.transform(
-                F.array_sort(F.collect_list(F.struct("_rn", "chunk_id"))), lambda s: s["chunk_id"]
+                F.sort_array(F.collect_list(F.struct("_rn", "chunk_id"))), lambda s: s["chunk_id"]
             ).alias("ids")
         )
     )
     listed = hits.join(scored, ["tenant_id", "document_id", "source_span"])
     per_question = listed.groupBy(*TQ).agg(
-        F.array_sort(F.collect_list(F.struct("edge_rank", "ids"))).alias("_e")
+        F.sort_array(F.collect_list(F.struct("edge_rank", "ids"))).alias("_e")
     )
     picked = F.aggregate(
         "_e",

@@ -190,7 +190,7 @@ def merge_document_lists(primary: DataFrame, secondary: DataFrame, limit: int =
 
 def query_trace(planned: DataFrame, selected: DataFrame, assessed: DataFrame) -> DataFrame:
     """One row per question: category, sources in order, verdict, hashed text."""
-    ordered = F.array_sort(F.collect_list(F.struct("source_no", "chunk_id", "vector_score", "filename")))
+    ordered = F.sort_array(F.collect_list(F.struct("source_no", "chunk_id", "vector_score", "filename")))
     lists = selected.groupBy(*TQ).agg(ordered.alias("_s"))
 
     def joined(name: str) -> Column:

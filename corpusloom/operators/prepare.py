@@ -178,7 +178,7 @@ def document_heads(pages: DataFrame, options: Options = DEFAULTS) -> DataFrame:
         .withColumn("_rn", F.row_number().over(w))
         .filter(F.col("_rn") <= options.graph_pages)
     )
-    ordered = F.array_sort(F.collect_list(F.struct("page", "text")))
+    ordered = F.sort_array(F.collect_list(F.struct("page", "text")))
     return first.groupBy(*DOC).agg(
         F.first("filename").alias("filename"),
         F.array_join(F.transform(ordered, lambda p: p["text"]), "\n").alias("head_text"),

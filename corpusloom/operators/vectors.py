@@ -270,7 +270,7 @@ def ann_topk(
             for i, c in enumerate(centers)
         ]
     )
-    near = F.slice(F.array_sort(distances), 1, probes)
+    near = F.slice(F.sort_array(distances), 1, probes)
     probing = queries.select(
         "tenant_id", "query_id", "embedding", F.explode(F.transform(near, lambda s: s["i"])).alias("_cell")
     ).select(F.concat_ws("#", "tenant_id", "_cell").alias("cell"), "query_id", "embedding")
@@ -305,9 +305,9 @@ def score_lexical_only(
 def embedding_model_guard(stored: DataFrame) -> DataFrame:
     """Per tenant the models and vector sizes in store; more than one is a conflict."""
     return stored.groupBy("tenant_id").agg(
-        F.array_join(F.array_sort(F.collect_set("embedding_model")), ",").alias("models"),
+        F.array_join(F.sort_array(F.collect_set("embedding_model")), ",").alias("models"),
         F.array_join(
-            F.array_sort(F.collect_set(F.size("embedding").cast("string"))), ","
+            F.sort_array(F.collect_set(F.size("embedding").cast("string"))), ","
         ).alias("sizes"),
         (
             (F.size(F.collect_set("embedding_model")) > 1)

@@ -64,8 +64,8 @@ def drop_empty_metadata(spark, d):
     return kept.select(
         "tenant_id",
         "document_id",
-        F.array_join(F.array_sort(F.map_keys("metadata")), ",").alias("keys"),
-        F.array_join(F.array_sort(F.map_values("metadata")), ",").alias("values"),
+        F.array_join(F.sort_array(F.map_keys("metadata")), ",").alias("keys"),
+        F.array_join(F.sort_array(F.map_values("metadata")), ",").alias("values"),
     )
 
 
@@ -176,14 +176,14 @@ def tokenize_corpus(spark, d):
     return docs.select(
         "doc_id",
         F.size("tokens").alias("terms"),
-        F.array_join(F.array_sort("tokens"), " ").alias("sorted_terms"),
+        F.array_join(F.sort_array("tokens"), " ").alias("sorted_terms"),
     )
 
 
 @query
 def reference_tokens(spark, d):
     pages = T.with_reference_tokens(w.raw_pages(spark, d), "text")
-    return pages.select("doc_id", "page", F.array_join(F.array_sort("refs"), " ").alias("refs"))
+    return pages.select("doc_id", "page", F.array_join(F.sort_array("refs"), " ").alias("refs"))
 
 
 @query

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import chunking, graph
+from corpusloom.operators import graph
 from corpusloom.plans import ingestion as ing
 from corpusloom.plans import retrieval as r
 from corpusloom.plans import workload as w
@@ -16,12 +16,6 @@ OUT = (
 )
 
 
-def _head_hits(spark, d):
-    meta = ing.metadata(spark, d)
-    head = meta.select("tenant_id", "document_id", F.lit(1).alias("page"), F.col("head_text").alias("text"))
-    return meta, graph.topic_hits(chunking.chunk_pages(head))
-
-
 @query
 def edges_from_metadata(spark, d):
     return graph.edges_from_metadata(ing.metadata(spark, d)).select(*OUT)
@@ -29,13 +23,13 @@ def edges_from_metadata(spark, d):
 
 @query
 def edges_from_topics(spark, d):
-    meta, hits = _head_hits(spark, d)
+    meta, hits = r.head_hits(spark, d)
     return graph.edges_from_topics(hits, meta).select(*OUT)
 
 
 @query
 def topic_cooccurrence(spark, d):
-    meta, hits = _head_hits(spark, d)
+    meta, hits = r.head_hits(spark, d)
     return graph.topic_cooccurrence(hits, meta).select(*OUT, "confidence")
 
 

@@ -71,7 +71,7 @@ def _label_queries(spark, d):
     """The mean vector of each label asks, in the one tenant of the vector table."""
     spread = w.table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
     means = spread.groupBy("label", "i").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("x"))
-    packed = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))
+    packed = means.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v"))
     return packed.select(
         F.lit("vectors").alias("tenant_id"),
         F.col("label").cast("long").alias("query_id"),

@@ -31,11 +31,18 @@ def index_chunks(chunks: DataFrame) -> DataFrame:
     return vectors.embed_chunks(tokens, "text").withColumn("embedding_model", F.lit(vectors.MODEL))
 
 
-def head_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges read off the head of each document, as one page."""
-    meta = ing.metadata(spark, sf_dir)
+def head_hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Metadata of every document and the topics of its head, read as one page.
+
+    Both feed several kinds of edges, so they are worked out once and stored.
+    """
+    meta = written(ing.metadata(spark, sf_dir))
     head = meta.select("tenant_id", "document_id", F.lit(1).alias("page"), F.col("head_text").alias("text"))
-    return graph.extract_edges(meta, chunking.chunk_pages(head))
+    return meta, written(graph.topic_hits(chunking.chunk_pages(head)))
+
+
+def head_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.extract_edges(*head_hits(spark, sf_dir))
 
 
 _STORES: dict[tuple[str, str], Store] = {}

@@ -92,7 +92,7 @@ def sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark passage, phrased as a question, asked in every tenant."""
-    tenants = table(spark, sf_dir, "documents").agg(F.array_sort(F.collect_set("source")))
+    tenants = table(spark, sf_dir, "documents").agg(F.sort_array(F.collect_set("source")))
     phrase = F.expr(
         """CASE item_id % 5
              WHEN 0 THEN concat('O que diz o art. ', cast(item_id % 7 + 1 AS string), ' da RDC ', cast(item_id % 400 + 1 AS string), '/', cast(item_id % 35 + 1990 AS string), '? ')

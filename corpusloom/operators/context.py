@@ -10,6 +10,7 @@ from corpusloom.functions import patterns as P
 from corpusloom.functions import text as T
 
 TQ = ["tenant_id", "query_id"]
+# Heading of the relations block.
 RELATIONS_TITLE = "[Relações KAG — orientação; confirme sempre pelas Fontes]"
 
 

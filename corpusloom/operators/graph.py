@@ -18,6 +18,7 @@ from corpusloom.operators.prepare import DOC
 
 TQ = ["tenant_id", "query_id"]
 STEP = 1000  # emit positions reserved per chunk
+# Validation states of an edge.
 PENDING, VALIDATED, REJECTED = "pendente_de_validacao", "validada", "rejeitada"
 
 

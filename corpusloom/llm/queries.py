@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import mixing, packing, pu_quality, quality_forest, textstats
+from corpusloom.llm import mixing, near_duplicates, packing, pu_quality, quality_forest, textstats
 from corpusloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op2_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_forest.judge(docs, labels).select("doc_id", *textstats.COUNTS, "base_failed", "kept", "anomaly")
 
 
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.classes(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
@@ -39,6 +43,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op2_quality_forest,
+        op5_order_minhash,
         op7_source_mix,
         op8_best_fit_packing,
         op9_pu_quality,

@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import mixing, near_duplicates, packing, pu_quality, quality_forest, textstats
+from corpusloom.llm import html_text, mixing, near_duplicates, packing, pu_quality, quality_forest, textstats, warc
 from corpusloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_texts(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op2_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     labels = table(spark, sf_dir, "labels", "doc_id", "quality")
@@ -39,14 +43,20 @@ def op9_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_quality.classify(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
+def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
+        op1_host_paths,
         op2_quality_forest,
         op5_order_minhash,
         op7_source_mix,
         op8_best_fit_packing,
         op9_pu_quality,
+        op10_warc_revisits,
     )
 }
 

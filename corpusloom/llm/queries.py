@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import html_text, mixing, near_duplicates, packing, pu_quality, quality_forest, textstats, warc
+from corpusloom.llm import (
+    html_text,
+    impact_search,
+    mixing,
+    near_duplicates,
+    packing,
+    preferences,
+    pu_quality,
+    quality_forest,
+    textstats,
+    trie_counts,
+    warc,
+)
 from corpusloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,10 +36,34 @@ def op2_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_forest.judge(docs, labels).select("doc_id", *textstats.COUNTS, "base_failed", "kept", "anomaly")
 
 
+def op3_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+
+    def sides(rows: DataFrame) -> DataFrame:
+        return rows.withColumnRenamed("conv_id", "pair_id")
+
+    made = preferences.preference_examples(sides(turns), sides(preferences.swapped_replies(turns)))
+
+    def runs(mask: str):
+        return F.array_join(F.transform(mask, lambda r: F.concat_ws(":", r["chars"], r["trained"])), ",").alias(mask)
+
+    return made.select("pair_id", "prompt_turns", "prompt", "chosen", "rejected", runs("chosen_mask"), runs("rejected_mask"))
+
+
+def op4_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return trie_counts.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.classes(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op6_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = impact_search.sound_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    return impact_search.search(vectors, vectors.where("vec_id % 100 = 0"), 10)
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
@@ -52,7 +88,10 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_host_paths,
         op2_quality_forest,
+        op3_preference_format,
+        op4_trie_token_counts,
         op5_order_minhash,
+        op6_impact_search,
         op7_source_mix,
         op8_best_fit_packing,
         op9_pu_quality,

@@ -98,5 +98,3 @@ QUERIES: dict[str, Query] = {
         op10_warc_revisits,
     )
 }
-
-ORACLES: dict[str, str] = {}

@@ -207,7 +207,7 @@ def _state(edges: DataFrame) -> tuple[int, int]:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, component (its smallest node) of every linked node."""
+    """node, component (its smallest node) of every linked node but the smallest ones themselves."""
     edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     state = _state(edges)
     while True:

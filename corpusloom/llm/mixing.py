@@ -8,8 +8,8 @@ budget that remains, documents are counted by exact length. Every length first g
 same share of its documents, rounded down, then one more from the longest lengths on while
 it fits; what is left, less than a few of the longest documents, is filled exactly
 (or as nearly as the lengths allow) by a bounded-knapsack dynamic programme over the
-documents of each length not taken yet. Which documents of a length are taken is
-decided by a seeded hash.
+copies of each length not taken yet. The copies of a length are dealt evenly to its
+documents; which of them get one more is decided by a seeded hash.
 
 One task sees the length counts of one source, never its documents. The choice among
 documents of one length and source first counts hash bins, so that a third of all rows
@@ -117,26 +117,31 @@ def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
     return take
 
 
-def fitted(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """Documents to take of each length, at most ``counts``, for a sum near ``budget``."""
+def fitted(lengths: np.ndarray, counts: np.ndarray, bound: np.ndarray, budget: int) -> np.ndarray:
+    """Copies to take of each length, at most ``bound``, for a sum near ``budget``.
+
+    ``counts``: documents of each length; ``budget`` is less than all of them hold.
+    """
     whole = int(lengths @ counts)
-    if budget >= whole:
-        return counts.copy()
     take = np.array([int(c) * budget // whole for c in counts], np.int64)
     left = budget - int(lengths @ take)
-    for k in np.argsort(-lengths, kind="stable"):
-        if lengths[k] <= left and take[k] < counts[k]:
+    room = np.where(lengths <= left, bound - take, 0)
+    if int(lengths @ room) <= left:  # only documents that are too long remain
+        return take + room
+    longest = np.argsort(-lengths, kind="stable")
+    for k in longest:
+        if lengths[k] <= left and take[k] < bound[k]:
             take[k] += 1
             left -= int(lengths[k])
     # Give back one document of the longest lengths, so that the programme has room to fit.
-    for k in np.argsort(-lengths, kind="stable")[:2]:
+    for k in longest[:2]:
         if take[k]:
             take[k] -= 1
             left += int(lengths[k])
     if left > 0:
-        order = np.argsort(lengths, kind="stable")
+        order = longest[::-1]
         order = order[lengths[order] <= left]
-        take[order] += knapsack(lengths[order], (counts - take)[order], left)
+        take[order] += knapsack(lengths[order], (bound - take)[order], left)
     return take
 
 
@@ -147,10 +152,10 @@ def quotas(counted: DataFrame) -> DataFrame:
         lengths, counts = group["size"].to_numpy(np.int64), group["n"].to_numpy(np.int64)
         total, target = int(group["source_size"].iloc[0]), float(group["target"].iloc[0])
         whole = min(MOST, int(target // total)) if total else 0
-        extra = np.zeros(len(lengths), np.int64)
+        copies = whole * counts
         if total and whole < MOST:
-            extra = fitted(lengths, counts, round(target - whole * total))
-        return pd.DataFrame({"source": group["source"], "size": lengths, "whole": whole, "extra": extra})
+            copies = copies + fitted(lengths, counts, (MOST - whole) * counts, min(round(target - whole * total), total - 1))
+        return pd.DataFrame({"source": group["source"], "size": lengths, "whole": copies // counts, "extra": copies % counts})
 
     return counted.groupBy("source").applyInPandas(run, "source string, size long, whole long, extra long")
 

@@ -6,8 +6,8 @@ the training fold; labels 0 are never used. With logistic loss the unbiased risk
     -prior * mean(f over positives) + mean(log(1 + exp(f)) over unlabelled)
 
 and its part for negatives, mean(log(1 + exp f) over unlabelled) - prior *
-mean(log(1 + exp f) over positives), must not fall below zero: while it does, the
-fit climbs out by the gradient of that part, as in non-negative risk estimation.
+mean(log(1 + exp f) over positives), must not fall below zero, where it would only fit noise:
+a step that leads there is halved until it does not.
 
 The class prior is estimated without negatives: for any scorer and threshold t,
 share(unlabelled >= t) >= prior * share(positives >= t), so the least ratio of the two
@@ -40,8 +40,6 @@ STEPS = 25
 RIDGE = 1e-3
 #: Bound on the change of any coefficient in one step.
 REACH = 5.0
-#: Step along the gradient while the risk of negatives is below zero.
-CLIMB = 0.5
 TOLERANCE = 1e-3
 #: Share of positives above the thresholds at which the prior is read.
 LEAST_SHARE = 0.5
@@ -129,11 +127,10 @@ def standardised(rows: DataFrame) -> Model | None:
 
 
 def minimised(rows: DataFrame, model: Model, prior: float) -> Model:
-    """Newton steps on the unbiased risk, gradient steps out of a negative risk below zero."""
+    """Newton steps on the unbiased risk that keep the risk of negatives at zero or above."""
     size = len(model.weights)
-    weights = np.zeros(size)
+    weights = now = step = np.zeros(size)
     for _ in range(STEPS):
-        now = weights
 
         def terms(x, p, now=now):
             z = design(model, x)
@@ -141,21 +138,23 @@ def minimised(rows: DataFrame, model: Model, prior: float) -> Model:
             s, loss = sigmoid(f), np.logaddexp(0, f)
             curve = (z * (s * (1 - s))[:, None]).T @ z
             return np.concatenate(
-                [[len(z), p.sum(), loss.sum(), loss[p].sum()], z[p].sum(0), (z[p] * s[p][:, None]).sum(0), s @ z, curve.ravel()]
+                [[len(z), p.sum(), loss.sum(), loss[p].sum()], z[p].sum(0), s @ z, curve.ravel()]
             )
 
         sums = summed(rows, terms)
         n, positives, loss, loss_p = sums[:4]
-        of_p, pulled_p, pulled, curve = np.split(sums[4:], [size, 2 * size, 3 * size])
+        of_p, pulled, curve = np.split(sums[4:], [size, 2 * size])
         if loss / n - prior * loss_p / positives < 0:
-            weights = now + CLIMB * (pulled / n - prior * pulled_p / positives)
+            step = step / 2
+            now = weights - step
             continue
+        weights = now
+        if step.any() and np.abs(step).max() < TOLERANCE:
+            break
         slope = pulled / n - prior * of_p / positives + RIDGE * now
         step = np.linalg.solve(curve.reshape(size, size) / n + RIDGE * np.eye(size), slope)
         step *= min(1.0, REACH / max(np.abs(step).max(), 1e-12))
-        weights = now - step
-        if np.abs(step).max() < TOLERANCE:
-            break
+        now = weights - step
     return Model(model.centre, model.scale, weights, prior)
 
 

@@ -190,12 +190,14 @@ def _folder(spark, name):
 
 @query
 def scan_text_files(spark, d):
-    """The documents written out as text files of bounded size and read back."""
+    """Every document written out as a file of its own, in a folder of its name, and scanned."""
     folder = _folder(spark, "texts")
-    texts = w.table(spark, d, "documents").select("text")
-    texts.repartition(8).write.option("maxRecordsPerFile", 500).text(folder)
+    w.raw_documents(spark, d).select("filename", "text").repartition("filename").write.partitionBy("filename").text(folder)
     out = files.scan_text_files(spark, folder)
-    return out.select("filename", "ext", F.length("text").alias("chars"), F.octet_length("content").alias("bytes"))
+    return out.select(
+        F.regexp_extract("path", "/filename=([^/]+)/", 1).alias("document"), "ext",
+        F.length("text").alias("chars"), F.sha2("text", 256).alias("text_hash"),
+    )
 
 
 @query
@@ -213,25 +215,32 @@ def reject_bad_content(spark, d):
 
 @query
 def scan_sidecars(spark, d):
-    """Sidecar contents as they are read, some of them broken."""
+    """Sidecars written one to a file, over many lines, some of them broken, and scanned."""
+    folder = _folder(spark, "sidecars")
+    pretty = F.to_json(F.struct("status", "document_version"), {"pretty": "true"})
     raw = w.sidecars(spark, d).select(
         F.concat("filename", F.lit(".meta.json")).alias("name"),
-        F.when(F.substring("filename", 4, 1) == "3", "{quebrado")
-        .otherwise(F.to_json(F.struct("status", "document_version")))
-        .alias("value"),
+        F.when(F.substring("filename", 4, 1) == "3", "{quebrado\n").otherwise(pretty).alias("value"),
     )
-    return files.parse_sidecars(raw).select("filename", "status", "document_version")
+    raw.repartition("name").write.partitionBy("name").text(folder)
+    return files.scan_sidecars(spark, folder).select("filename", "status", "document_version")
+
+
+#: Cases of one evaluation file.
+FILE_CASES = 50
 
 
 @query
 def scan_eval_json(spark, d):
+    """Cases written as files of many lines, fifty cases each, and scanned."""
     from corpusloom.plans import evaluation as ev
 
     folder = _folder(spark, "cases")
-    cases = ev.cases(spark, d).select("id", "question", "should_answer", "expected_document", "expected_keywords")
-    body = cases.groupBy(F.xxhash64("id").alias("g")).agg(F.collect_list(F.struct(*cases.columns)).alias("cases"))
-    body.select(F.to_json(F.struct("cases")).alias("value")).write.text(folder)
-    return files.scan_eval_json(spark, folder).select("id", "question", "should_answer", "expected_document")
+    cases = ev.cases(spark, d)
+    place = F.expr(f"cast(regexp_extract(id, '[0-9]+$', 0) as long) div {FILE_CASES}")
+    body = cases.groupBy(place.alias("g")).agg(F.collect_list(F.struct(*cases.columns)).alias("cases"))
+    body.select(F.to_json(F.struct("cases"), {"pretty": "true"}).alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    return files.scan_eval_json(spark, folder)
 
 
 @query
@@ -239,9 +248,10 @@ def scan_eval_jsonl(spark, d):
     from corpusloom.plans import evaluation as ev
 
     folder = _folder(spark, "lines")
-    lines = ev.cases(spark, d).select(F.explode(F.array(F.lit("# caso"), F.lit("  "), F.to_json(F.struct("id", "question", "should_answer", "expected_document")))).alias("value"))
+    cases = ev.cases(spark, d)
+    lines = cases.select(F.explode(F.array(F.lit("# caso"), F.lit("  "), F.to_json(F.struct(*cases.columns)))).alias("value"))
     lines.write.text(folder)
-    return files.scan_eval_jsonl(spark, folder).select("id", "question", "should_answer", "expected_document")
+    return files.scan_eval_jsonl(spark, folder)
 
 
 @query

@@ -57,7 +57,14 @@ SELECT doc_id, CASE doc_id % 3 WHEN 1 THEN 'pdf' WHEN 0 THEN 'md' ELSE 'exe' END
 SQL["scan_sidecars"] = "SELECT filename, status, document_version FROM (SELECT * REPLACE (CASE WHEN document_version IS NOT NULL THEN ' ' || document_version END AS document_version) FROM sidecars) WHERE substring(filename, 4, 1) <> '3'"
 _case = """
 SELECT concat(CASE item_id % 5 WHEN 0 THEN 'multi-' WHEN 1 THEN 'recusa-' WHEN 2 THEN 'art-' ELSE 'q-' END, cast(item_id AS varchar)) AS id, text AS question,
-  CASE item_id % 3 WHEN 0 THEN false WHEN 1 THEN true END AS should_answer, CASE WHEN item_id % 2 = 0 THEN concat('doc', cast(item_id AS varchar), '.md') END AS expected_document FROM benchmark"""
+  CASE item_id % 3 WHEN 0 THEN false WHEN 1 THEN true END AS should_answer, CASE WHEN item_id % 2 = 0 THEN concat('doc', cast(item_id AS varchar), '.md') END AS expected_document,
+  CASE WHEN item_id % 4 = 2 THEN ['a.md', 'b.md'] END AS expected_document_ids, cast(NULL AS varchar[]) AS expected_evidence_ids,
+  CASE WHEN item_id % 7 = 0 THEN '' END AS expected_article, CASE WHEN item_id % 2 = 1 THEN string_split(text, ' ')[1:2] END AS expected_keywords,
+  cast(NULL AS varchar) AS reference_answer, CASE WHEN item_id % 8 = 4 THEN 'validity' END AS category, cast(NULL AS varchar) AS difficulty,
+  CASE WHEN item_id % 6 = 0 THEN true END AS requires_current_validity, CASE WHEN item_id % 9 = 0 THEN 'approved' END AS review_status FROM benchmark"""
+SQL["scan_text_files"] = """
+SELECT concat('doc', cast(doc_id AS varchar), '.md') AS document, 'txt' AS ext, length(t)::int AS chars, sha256(t) AS text_hash
+FROM (SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM documents)"""
 SQL["scan_eval_json"] = _case
 SQL["scan_eval_jsonl"] = _case
 SQL["write_chunk_snapshot"] = "SELECT chunk_id, tenant_id, document_id, chunk FROM chunks_full WHERE tenant_id <> 'src3' OR chunk = 1"

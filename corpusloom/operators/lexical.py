@@ -1,16 +1,20 @@
-"""BM25 over tables: postings, statistics, search.
+"""BM25 over an inverted index: postings, statistics, search.
 
-Postings keep ``document_id``: chunks placed by document are then grouped by
-(document, chunk, term) where they lie, without moving a token.
+Postings keep ``document_id``. Stored in buckets of (tenant, document), they are joined,
+summed by chunk and cut to the best of each bucket where they lie; a search moves its
+own terms and the cut rows, never a posting.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.config import DEFAULTS, Options
 from corpusloom.functions import text as T
+from corpusloom.session import bucketed, written
 
 CHUNK = ["tenant_id", "document_id", "chunk_id"]
 TQ = ["tenant_id", "query_id"]
@@ -29,19 +33,35 @@ def query_terms(questions: DataFrame) -> DataFrame:
     return terms.select(*TQ, F.explode(F.array_distinct("tokens")).alias("term"))
 
 
-def bm25_postings(tokens: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Index:
+    """Postings (term, chunk, tf, doc_len), document frequencies, and totals per tenant."""
+
+    postings: DataFrame
+    frequencies: DataFrame
+    totals: DataFrame
+
+
+def bm25_postings(tokens: DataFrame) -> DataFrame:
     """(term, chunk, tf) with the chunk's length.
 
-    ``wanted`` (tenant, term) narrows to the terms asked for before anything is
-    grouped. A chunk's terms sit in one row, so the map-side combine already
-    yields final counts.
+    A chunk's terms sit in one row, so the map-side combine already yields final counts.
     """
     exploded = tokens.select(*CHUNK, "doc_len", F.explode("tokens").alias("term"))
-    if wanted is not None:
-        exploded = exploded.join(wanted, ["tenant_id", "term"], "left_semi")
     return exploded.groupBy(*CHUNK, "doc_len", "term").agg(F.count("*").alias("tf"))
 
 
+def inverted_index(tokens: DataFrame) -> Index:
+    postings = bm25_postings(tokens)
+    return Index(postings, document_frequency(postings), corpus_totals(tokens))
+
+
+def stored_index(tokens: DataFrame) -> Index:
+    """The index written to the shared folder, postings in buckets of (tenant, document)."""
+    postings = bucketed(bm25_postings(tokens), "tenant_id", "document_id")
+    return Index(postings, written(document_frequency(postings)), written(corpus_totals(tokens)))
+
+
 def corpus_totals(tokens: DataFrame) -> DataFrame:
     """Per tenant: chunks in the index and their mean length."""
     return tokens.groupBy("tenant_id").agg(
@@ -60,38 +80,16 @@ def term_weight(options: Options = DEFAULTS) -> Column:
     return idf * (F.col("tf") * (options.k1 + 1) / (F.col("tf") + options.k1 * norm))
 
 
-# Rows of question terms that may travel to every task; more are joined by shuffle.
-MAX_BROADCAST_TERMS = 1_000_000
-
-
-def bm25_scores(tokens: DataFrame, terms: DataFrame, options: Options = DEFAULTS) -> DataFrame:
+def bm25_scores(index: Index, terms: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     """Score of every chunk that shares a term with a question.
 
-    Chunks are placed by document once. While the question terms are few enough
-    to travel, everything about a chunk then happens where it lies: term counts,
-    weights, sums, and the cut to the best of each task. With more of them the
-    same plan joins by shuffle on (tenant, term).
+    The terms asked for, with their frequencies, are written once, so the planner knows
+    their size when it chooses how they meet the postings.
     """
-    small = terms.count() <= MAX_BROADCAST_TERMS
-    side = F.broadcast if small else (lambda df: df)
-    wanted = terms.select("tenant_id", "term").distinct()
-    seen = tokens.select("tenant_id", F.explode(F.array_distinct("tokens")).alias("term"))
-    stats = (
-        seen.join(side(wanted), ["tenant_id", "term"], "left_semi")
-        .groupBy("tenant_id", "term")
-        .agg(F.count("*").alias("df"))
-        .join(corpus_totals(tokens), "tenant_id")
-    )
-    placed = tokens.repartition("tenant_id", "document_id")
-    counted = (
-        placed.select(*CHUNK, "doc_len", F.explode("tokens").alias("term"))
-        .join(side(stats), ["tenant_id", "term"])
-        .groupBy(*CHUNK, "term", "doc_len", "df", "n", "avg_len")
-        .agg(F.count("*").alias("tf"))
-    )
-    weighted = counted.select(*CHUNK, "term", term_weight(options).alias("weight"))
+    asked = written(terms.join(index.frequencies, ["tenant_id", "term"]).join(index.totals, "tenant_id"))
     return (
-        weighted.join(side(terms), ["tenant_id", "term"])
+        index.postings.join(asked, ["tenant_id", "term"])
+        .select("tenant_id", "document_id", "chunk_id", "query_id", term_weight(options).alias("weight"))
         .groupBy("tenant_id", "document_id", "chunk_id", "query_id")
         .agg(F.round(F.sum("weight"), 6).alias("bm25_score"))
     )
@@ -103,9 +101,9 @@ def top_n(scores: DataFrame, score: str, rank: str, n: int) -> DataFrame:
     return scores.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
 
 
-def bm25_search(tokens: DataFrame, questions: DataFrame, options: Options = DEFAULTS) -> DataFrame:
-    """Top chunks of each question by BM25, straight from chunk terms."""
-    scores = bm25_scores(tokens, query_terms(questions), options)
+def bm25_search(index: Index, questions: DataFrame, options: Options = DEFAULTS) -> DataFrame:
+    """Top chunks of each question by BM25."""
+    scores = bm25_scores(index, query_terms(questions), options)
     return top_n(scores, "bm25_score", "bm25_rank", options.candidates)
 
 
@@ -117,23 +115,12 @@ def lexical_score(hits: DataFrame) -> DataFrame:
     )
 
 
-def contains_any_token(tokens: DataFrame, wanted: DataFrame) -> DataFrame:
+def contains_any_token(index: Index, wanted: DataFrame) -> DataFrame:
     """Chunks with at least one of the wanted (tenant, term)."""
-    exploded = tokens.select(*CHUNK, F.explode(F.array_distinct("tokens")).alias("term"))
-    return exploded.join(wanted, ["tenant_id", "term"], "left_semi").select(*CHUNK).distinct()
+    return index.postings.join(wanted, ["tenant_id", "term"], "left_semi").select(*CHUNK).distinct()
 
 
-def index_size(tokens: DataFrame) -> DataFrame:
-    """Indexed chunks and distinct terms per tenant.
-
-    Distinct terms are found per (tenant, term) first, so a large tenant is
-    counted by many tasks.
-    """
-    terms = (
-        tokens.select("tenant_id", F.explode("tokens").alias("term"))
-        .distinct()
-        .groupBy("tenant_id")
-        .agg(F.count("*").alias("terms"))
-    )
-    chunks = tokens.groupBy("tenant_id").agg(F.count("*").alias("chunks"))
-    return chunks.join(terms, "tenant_id")
+def index_size(index: Index) -> DataFrame:
+    """Indexed chunks and distinct terms per tenant."""
+    terms = index.frequencies.groupBy("tenant_id").agg(F.count("*").alias("terms"))
+    return index.totals.select("tenant_id", F.col("n").alias("chunks")).join(terms, "tenant_id")

@@ -16,8 +16,8 @@ from corpusloom.session import written
 TQ = ["tenant_id", "query_id"]
 
 
-def _tokens(spark, d):
-    return lexical.chunk_tokens(r.store(spark, d).chunks)
+def _index(spark, d):
+    return r.store(spark, d).index
 
 
 def _asked(spark, d):
@@ -29,26 +29,24 @@ def _asked(spark, d):
 
 @query
 def bm25_postings(spark, d):
-    return lexical.bm25_postings(_tokens(spark, d)).select("chunk_id", "term", "tf")
+    return _index(spark, d).postings.select("chunk_id", "term", "tf")
 
 
 @query
 def bm25_corpus_stats(spark, d):
-    tokens = _tokens(spark, d)
-    df = lexical.document_frequency(lexical.bm25_postings(tokens))
-    totals = lexical.corpus_totals(tokens).withColumn("avg_len", F.round("avg_len", 6))
-    return df.join(totals, "tenant_id")
+    index = _index(spark, d)
+    return index.frequencies.join(index.totals.withColumn("avg_len", F.round("avg_len", 6)), "tenant_id")
 
 
 @query
 def bm25_search(spark, d):
-    hits = lexical.bm25_search(_tokens(spark, d), w.questions(spark, d))
+    hits = lexical.bm25_search(_index(spark, d), w.questions(spark, d))
     return hits.select(*TQ, "chunk_id", "bm25_score", "bm25_rank")
 
 
 @query
 def lexical_score(spark, d):
-    hits = lexical.lexical_score(lexical.bm25_search(_tokens(spark, d), w.questions(spark, d)))
+    hits = lexical.lexical_score(lexical.bm25_search(_index(spark, d), w.questions(spark, d)))
     return hits.select(*TQ, "chunk_id", F.round("lexical_score", 6).alias("lexical_score"))
 
 
@@ -56,12 +54,12 @@ def lexical_score(spark, d):
 def contains_any_token(spark, d):
     refs = T.with_reference_tokens(w.questions(spark, d), "question")
     wanted = refs.select("tenant_id", F.explode("refs").alias("term")).distinct()
-    return lexical.contains_any_token(_tokens(spark, d), wanted).select("tenant_id", "chunk_id")
+    return lexical.contains_any_token(_index(spark, d), wanted).select("tenant_id", "chunk_id")
 
 
 @query
 def index_size(spark, d):
-    return lexical.index_size(_tokens(spark, d))
+    return lexical.index_size(_index(spark, d))
 
 
 # ------------------------------------------------------------------ vectors
@@ -114,7 +112,7 @@ def cosine_pairs(spark, d):
 
 
 def _bm25(spark, d):
-    return lexical.bm25_search(_tokens(spark, d), w.questions(spark, d))
+    return lexical.bm25_search(_index(spark, d), w.questions(spark, d))
 
 
 @query

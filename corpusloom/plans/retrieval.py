@@ -17,9 +17,10 @@ from corpusloom.session import written
 
 @dataclass(frozen=True)
 class Store:
-    """What ingestion leaves behind: chunks with terms and vectors, and the graph."""
+    """What ingestion leaves behind: chunks with terms and vectors, the lexical index, and the graph."""
 
     chunks: DataFrame
+    index: lexical.Index
     edges: DataFrame
     entities: DataFrame
     aliases: DataFrame
@@ -45,7 +46,13 @@ def head_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.extract_edges(*head_hits(spark, sf_dir))
 
 
-_STORES: dict[tuple[str, str], Store] = {}
+def version(spark: SparkSession, sf_dir: str) -> int:
+    """Changes with the files of the documents table."""
+    meta = w.table(spark, sf_dir, "documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+    return meta.distinct().agg(F.bit_xor(F.xxhash64("*"))).first()[0] or 0
+
+
+_STORES: dict[tuple[str, str, int], Store] = {}
 
 
 def store(spark: SparkSession, sf_dir: str) -> Store:
@@ -54,7 +61,7 @@ def store(spark: SparkSession, sf_dir: str) -> Store:
     Questions are asked of a corpus that was ingested before; ``build_store``
     times the ingestion itself.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, version(spark, sf_dir))
     if key not in _STORES:
         _STORES[key] = build_store(spark, sf_dir)
     return _STORES[key]
@@ -64,7 +71,7 @@ def build_store(spark: SparkSession, sf_dir: str) -> Store:
     chunks = written(index_chunks(ing.indexed_chunks(spark, sf_dir)))
     edges = written(head_edges(spark, sf_dir))
     entities = written(graph.resolve_entities(edges))
-    return Store(chunks, edges, entities, graph.expand_aliases(entities))
+    return Store(chunks, lexical.stored_index(lexical.chunk_tokens(chunks)), edges, entities, graph.expand_aliases(entities))
 
 
 def graph_candidates(
@@ -97,8 +104,7 @@ def ranked_lists(
     near = vectors.cosine_topk(st.chunks, asked, options)
     words = found = None
     if use_bm25:
-        tokens = lexical.chunk_tokens(st.chunks)
-        hits = lexical.lexical_score(lexical.bm25_search(tokens, questions, options))
+        hits = lexical.lexical_score(lexical.bm25_search(st.index, questions, options))
         words = vectors.with_cosine(hits, st.chunks, asked)
     if use_graph:
         _, found = graph_candidates(st, questions, options)

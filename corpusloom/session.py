@@ -78,3 +78,16 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, *keys: str) -> DataFrame:
+    """Store a table in the shared folder in buckets of ``keys``; reading it keeps that placement.
+
+    As many buckets as the session has shuffle partitions.
+    """
+    spark = df.sparkSession
+    name = f"corpusloom_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/tables/{name}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(buckets, *keys).write.option("path", path).bucketBy(buckets, *keys).saveAsTable(name)
+    return spark.table(name)

@@ -32,7 +32,7 @@ def ask(spark, *questions, tenant="t"):
 
 
 def test_bm25_against_the_formula(spark):
-    hits = lexical.bm25_search(lexical.chunk_tokens(corpus(spark)), ask(spark, "lista SNGPC")).collect()
+    hits = lexical.bm25_search(lexical.inverted_index(lexical.chunk_tokens(corpus(spark))), ask(spark, "lista SNGPC")).collect()
     lengths = {"a": 9, "b": 10, "c": 8, "d": 3, "e": 2}
     tokens = {x["chunk_id"]: x["doc_len"] for x in lexical.chunk_tokens(corpus(spark)).collect()}
     assert set(tokens) == set(lengths)  # the text of stopwords is not in the index
@@ -42,16 +42,20 @@ def test_bm25_against_the_formula(spark):
     assert {h["chunk_id"]: h["bm25_score"] for h in hits} == pytest.approx(want)
 
 
-def test_bm25_same_with_and_without_travelling_terms(spark, monkeypatch):
-    tokens, q = lexical.chunk_tokens(corpus(spark)), ask(spark, "RDC 67/2007", "qualidade lista AFE")
-    one = lexical.bm25_search(tokens, q).collect()
-    monkeypatch.setattr(lexical, "MAX_BROADCAST_TERMS", 0)
-    assert sorted(map(tuple, lexical.bm25_search(tokens, q).collect())) == sorted(map(tuple, one))
+def test_a_stored_index_moves_no_postings(spark):
+    many = corpus(spark).crossJoin(spark.range(2000)).select(
+        "tenant_id", F.concat("document_id", "id").alias("document_id"), F.concat("chunk_id", "id").alias("chunk_id"), "text"
+    )
+    tokens, q = lexical.chunk_tokens(many), ask(spark, "RDC 67/2007", "qualidade lista AFE")
+    found = lexical.bm25_search(lexical.stored_index(tokens), q)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, lexical.bm25_search(lexical.inverted_index(tokens), q).collect()))
+    moves = [line for line in found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines() if "Exchange hashpartitioning" in line]
+    assert len(moves) == 1 and "query_id" in moves[0] and "document_id" not in moves[0]
 
 
 def test_tenants_do_not_mix(spark):
     both = corpus(spark, "t").unionByName(corpus(spark, "u"))
-    hits = lexical.bm25_search(lexical.chunk_tokens(both), ask(spark, "AFE", tenant="u"))
+    hits = lexical.bm25_search(lexical.inverted_index(lexical.chunk_tokens(both)), ask(spark, "AFE", tenant="u"))
     assert {h["tenant_id"] for h in hits.collect()} == {"u"}
 
 

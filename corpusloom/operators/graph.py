@@ -281,27 +281,30 @@ def graph_search(
         aliases.select("tenant_id", F.col("entity_id").alias("id"), F.col("alias_normalized").alias("name"))
     )
     words = question_words(questions)
-    entities = (
-        words.join(names_containing(named, words), ["tenant_id", "word"])
-        .select(*TQ, "id")
+    met = names_containing(named, words)
+    # Only the lowest edges of an entity, and of a word, can be among the lowest of a
+    # question: a hot entity and a word of many names are cut before any question meets them.
+    low = Window.partitionBy("tenant_id", "id").orderBy("edge_id")
+    sides = [
+        live.select("tenant_id", F.col(end).alias("id"), "edge_id", "document_id", "relation", "source_span")
+        .withColumn("_rn", F.row_number().over(low))
+        .filter(F.col("_rn") <= options.graph_edges)
+        .drop("_rn")
+        for end in ("source_id", "target_id")
+    ]
+    by_word = Window.partitionBy("tenant_id", "word").orderBy("edge_id")
+    heads = (
+        met.join(sides[0].unionByName(sides[1]), ["tenant_id", "id"])
+        .drop("id")
         .distinct()
+        .withColumn("_rn", F.row_number().over(by_word))
+        .filter(F.col("_rn") <= options.graph_edges)
+        .drop("_rn")
     )
     w = Window.partitionBy(*TQ).orderBy("edge_id")
-    # Only the lowest edges of an entity can be among the lowest of a question,
-    # so a hot entity is cut to those before any question meets it.
-    sides = []
-    for end in ("source_id", "target_id"):
-        low = Window.partitionBy("tenant_id", "id").orderBy("edge_id")
-        sides.append(
-            live.select("tenant_id", F.col(end).alias("id"), "edge_id", "document_id", "relation", "source_span")
-            .withColumn("_rn", F.row_number().over(low))
-            .filter(F.col("_rn") <= options.graph_edges)
-            .drop("_rn")
-        )
-    heads = [entities.join(side, ["tenant_id", "id"]).drop("id") for side in sides]
     return (
-        heads[0]
-        .unionByName(heads[1])
+        words.join(heads, ["tenant_id", "word"])
+        .drop("word")
         .distinct()
         .withColumn("edge_rank", F.row_number().over(w))
         .filter(F.col("edge_rank") <= options.graph_edges)

@@ -142,9 +142,10 @@ def hybrid_retrieve(
 def gold_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark passage word for word.
 
-    A document holds a passage only if it holds three consecutive inner words of
-    it, so both sides meet by equality on those and the whole passage is checked
-    after. A passage under five words has no such anchor and fails the job.
+    A document holds a passage of five words or more only if it holds three consecutive
+    inner words of it, so both sides meet by equality on those and the whole passage is
+    checked after. A shorter passage meets documents on its first word and must lie in
+    them as whole words. A passage without words lies in no document.
     """
 
     def grams(words):
@@ -152,28 +153,32 @@ def gold_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.array_join(F.slice(words, i, 3), " ")
         )
 
-    space = r"[ \n\t\r]+"
-    passages = (
+    def spaced(words):
+        return F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+
+    words = F.filter(F.split("text", r"[ \n\t\r]+"), lambda x: x != "")
+    passages = written(
         w.table(spark, sf_dir, "benchmark")
-        .withColumn("_w", F.split("text", space))
-        .select(
-            F.col("item_id").alias("query_id"),
-            F.col("text").alias("passage"),
-            F.when(F.size("_w") >= 5, F.array_join(F.slice("_w", 2, 3), " "))
-            .otherwise(F.raise_error(F.lit("passage too short to anchor")))
-            .alias("gram"),
-        )
+        .withColumn("_w", words)
+        .select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), "_w")
     )
-    docs = (
-        w.raw_documents(spark, sf_dir)
-        .withColumn("_w", F.split("text", space))
-        .filter(F.size("_w") >= 3)
-        .select("tenant_id", "doc_id", F.explode(F.array_distinct(grams(F.col("_w")))).alias("gram"))
+    long = passages.filter(F.size("_w") >= 5).select("query_id", "passage", F.array_join(F.slice("_w", 2, 3), " ").alias("gram"))
+    short = passages.filter((F.size("_w") < 5) & (F.size("_w") > 0)).select(
+        "query_id", F.element_at("_w", 1).alias("word"), spaced(F.col("_w")).alias("_short")
     )
-    met = docs.join(passages, "gram").select("tenant_id", "doc_id", "query_id", "passage").distinct()
+    docs = w.raw_documents(spark, sf_dir).withColumn("_w", words)
+    cut = docs.filter(F.size("_w") >= 3).select("tenant_id", "doc_id", F.explode(F.array_distinct(grams(F.col("_w")))).alias("gram"))
+    met = cut.join(long, "gram").select("tenant_id", "doc_id", "query_id", "passage").distinct()
     texts = w.raw_documents(spark, sf_dir).select("doc_id", "filename", "text")
-    return (
+    whole = (
         met.join(texts, "doc_id")
         .filter(F.contains("text", "passage"))
         .select("tenant_id", "query_id", F.col("filename").alias("gold"))
     )
+    brief = (
+        docs.select("tenant_id", "filename", "_w", F.explode(F.array_distinct("_w")).alias("word"))
+        .join(short, "word")
+        .filter(F.contains(spaced(F.col("_w")), F.col("_short")))
+        .select("tenant_id", "query_id", F.col("filename").alias("gold"))
+    )
+    return whole.unionByName(brief)

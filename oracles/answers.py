@@ -130,14 +130,13 @@ SELECT *, sum(CASE WHEN prev IS NULL OR ts >= prev + INTERVAL 20 MINUTE THEN 1 E
 CTES["sess"] = "SELECT user_id, min(ts) AS a, max(ts) AS b, count(*) AS events FROM gaps GROUP BY user_id, s"
 _ms = lambda c: f"epoch_us({c})"
 SQL["sessions_batch"] = f"SELECT user_id, {_ms('a')} AS start_us, {_ms('b')} AS last_us, events FROM sess"
-CTES["mark"] = "SELECT max(ts) - INTERVAL 10 MINUTE AS m FROM events"
-SQL["stream_sessions"] = f"SELECT user_id, {_ms('a')} AS start_us, {_ms('b')} AS last_us, events FROM sess, mark WHERE b + INTERVAL 20 MINUTE <= m"
+SQL["stream_sessions"] = f"SELECT user_id, {_ms('a')} AS start_us, {_ms('b')} AS last_us, events FROM sess"
 SQL["stream_stage_metrics"] = """
 SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, stage, count(*) AS n, round(sum(v), 6) AS seconds, round(max(v), 6) AS slowest
-FROM (SELECT date_trunc('hour', ts) AS s, event_type AS stage, value / 1000.0::double AS v FROM events), mark WHERE s + INTERVAL 1 HOUR <= m GROUP BY ALL"""
+FROM (SELECT date_trunc('hour', ts) AS s, event_type AS stage, value / 1000.0::double AS v FROM events) GROUP BY ALL"""
 SQL["stream_stage_metrics_sliding"] = """
 SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, stage, count(*) AS n, round(sum(v), 6) AS seconds
-FROM (SELECT time_bucket(INTERVAL 30 MINUTE, ts) - unnest([0, 30]) * INTERVAL 1 MINUTE AS s, event_type AS stage, value / 1000.0::double AS v FROM events), mark WHERE s + INTERVAL 1 HOUR <= m GROUP BY ALL"""
+FROM (SELECT time_bucket(INTERVAL 30 MINUTE, ts) - unnest([0, 30]) * INTERVAL 1 MINUTE AS s, event_type AS stage, value / 1000.0::double AS v FROM events) GROUP BY ALL"""
 SQL["stream_audit_sink"] = f"SELECT event_id, tenant_id, request_id, action, {_pseudo} AS query_text FROM log"
 SQL["append_audit"] = "SELECT event_id, tenant_id, request_id, action FROM log"
 SQL["write_ndjson_events"] = "SELECT event_id, request_id, action FROM log"
@@ -145,4 +144,4 @@ SQL["stream_dedup_inflight"] = "SELECT DISTINCT concat('src', cast(user_id % 20
 SQL["stream_assemble_answers"] = """
 SELECT request_id, coalesce(trim(string_agg(' ' || cast(event_id AS varchar), '' ORDER BY event_id) FILTER (event_type IN ('view', 'click'))), '') AS answer,
   CASE WHEN bool_or(event_type = 'error') THEN 'failed' WHEN bool_or(event_type = 'purchase') THEN 'completed' ELSE 'cancelled' END AS status, count(*) AS events
-FROM (SELECT *, concat(cast(user_id AS varchar), '-', strftime(ts, '%Y%m%d')) AS request_id FROM events), mark GROUP BY request_id HAVING max(ts) + INTERVAL 1 DAY <= any_value(m)"""
+FROM (SELECT *, concat(cast(user_id AS varchar), '-', strftime(ts, '%Y%m%d')) AS request_id FROM events) GROUP BY request_id"""

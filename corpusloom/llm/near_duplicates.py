@@ -12,11 +12,14 @@ no alignment that passes leaves a diagonal band of that width: matches outside t
 are dropped and the longest chain of the rest is the alignment. Labelled shingles are
 unique in a text, so the chain takes n log n steps.
 
-Equal word sequences are one node from the start. Members of a bucket are first compared
-with the bucket's smallest node. Wherever a bucket then still holds several components,
-its members outside the largest one are compared, a few at a time, with every member
-of another component and of like size, until one component is left or all were compared: no
-candidate pair is lost, and a large group of copies costs one comparison per member.
+Equal word sequences are one node from the start. Every bucket has a hub: its member that
+meets most others over all its buckets. Each member is first compared with the hubs of its
+buckets, one comparison per member, hub and no more; that joins nearly all of a large group of copies.
+Buckets that then still hold several components are searched for links that remain. Members
+with the same main hub H bound their overlap: at most the smaller of what each shares with H,
+plus the smaller number of shingles outside H that each shares with any member of H. Only
+pairs of different components whose bound (or, with different hubs, whose lengths) allows
+the similarity are compared, so no candidate pair that could pass is left out.
 Components are found by alternating large and small stars over stored tables.
 
 Edge cases: a null text counts as empty; texts without words are copies of each other.
@@ -29,12 +32,11 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -45,8 +47,8 @@ SIMILARITY = 0.8
 #: (sketches, shingles of a sketch, fewest and most shingles of the texts that use them).
 #: Chance to miss a pair at similarity 0.8: under 0.002.
 KINDS = ((24, 3, 1, 100), (40, 8, 80, None))
-#: Members of a bucket outside its largest component that are compared in one round.
-PIVOTS = 16
+#: Bytes of shingles that a worker keeps of texts it may meet again.
+KEPT_BYTES = 32_000_000
 #: Words whose hashes a worker keeps.
 KNOWN_WORDS = 500_000
 
@@ -176,29 +178,47 @@ def aligned(a: np.ndarray, b: np.ndarray) -> float:
     return m / (total - m) if m >= needed else 0.0
 
 
-@lru_cache(maxsize=64)
-def shingles_of(text: str | None) -> np.ndarray:
-    return labelled(words_of(text))
+class Shingles(dict):
+    """Labelled shingles by text; begun anew when they have grown too large."""
 
+    size = 0
+
+    def __missing__(self, text: str | None) -> np.ndarray:
+        found = labelled(words_of(text))
+        self.size += found.nbytes + len(text or "")
+        if self.size > KEPT_BYTES:
+            self.clear()
+            self.size = found.nbytes + len(text or "")
+        self[text] = found
+        return found
+
+
+SHINGLES = Shingles()
 
-def similarity(left: Column, right: Column) -> Column:
-    def run(lefts: pa.Array, rights: pa.Array) -> pa.Array:
-        pairs = zip(lefts.to_pylist(), rights.to_pylist(), strict=True)
-        return pa.array([aligned(shingles_of(a), labelled(words_of(b))) for a, b in pairs], pa.float64())
 
-    return arrow_udf(run, "double")(left, right)
+def compared(left: Column, right: Column, main: Column) -> Column:
+    """s: similarity (0 if too low). If ``main``, also common: shingles of both, and others: those of the right text alone."""
+
+    def run(lefts: pa.Array, rights: pa.Array, mains: pa.Array) -> pa.Array:
+        scores, common, others = [], [], []
+        for a, b, m in zip(lefts.to_pylist(), rights.to_pylist(), mains.to_pylist(), strict=True):
+            x, y = SHINGLES[a], SHINGLES[b]
+            scores.append(aligned(x, y))
+            alone = np.setdiff1d(y, x, assume_unique=True) if m else None
+            common.append(len(y) - len(alone) if m else None)
+            others.append(alone.view(np.int64) if m else None)
+        return pa.StructArray.from_arrays(
+            [pa.array(scores, pa.float64()), pa.array(common, pa.int64()), pa.array(others, pa.list_(pa.int64()))], ["s", "common", "others"]
+        )
 
+    return arrow_udf(run, "struct<s: double, common: bigint, others: array<bigint>>")(left, right, main)
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough. ``texts``: row, text."""
+
+def with_comparison(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b, main) with ``got`` (``compared``). ``texts``: row, text."""
     left = texts.select(F.col("row").alias("a"), F.col("text").alias("left"))
     right = texts.select(F.col("row").alias("b"), F.col("text").alias("right"))
-    return (
-        pairs.join(right, "b").join(left, "a")
-        .select("a", "b", similarity(F.col("left"), F.col("right")).alias("s"))
-        .where(F.col("s") > 0)
-        .select("a", "b")
-    )
+    return pairs.join(right, "b").join(left, "a").select("a", "b", compared(F.col("left"), F.col("right"), F.col("main")).alias("got"))
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -214,8 +234,7 @@ def components(links: DataFrame) -> DataFrame:
         # Large star: larger neighbours move to the smallest neighbour. Pairs are (larger, smaller).
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        grown = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        grown = written(grown.distinct())
+        grown = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # Small star: a node and its smaller neighbours move to the smallest of them.
         least = grown.groupBy("a").agg(F.min("b").alias("m"))
         moved = grown.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -228,40 +247,42 @@ def components(links: DataFrame) -> DataFrame:
 
 def linked(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Components (node, component) of nodes that share buckets and are similar. ``members``: bucket, node, n."""
-    shared = members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("lead"), F.max("node").alias("top")).where("lead.node < top")
-    crowd = written(members.join(shared.select("bucket", "lead"), "bucket"))
-    like = lambda a, b: F.least(a, b) >= SIMILARITY * F.greatest(a, b) - 1e-9
-    first = crowd.where((F.col("lead.node") < F.col("node")) & like(F.col("lead.n"), F.col("n")))
-    links = written(verified(first.select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct(), texts))
+    shared = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    crowd = written(members.join(shared, "bucket"))
+    weights = written(crowd.groupBy("node").agg(F.sum("size").alias("weight")))
+    # Only texts that share a bucket are ever compared; they are fetched once.
+    texts = written(texts.join(weights.select(F.col("node").alias("row")), "row", "left_semi"))
+    weighed = written(crowd.join(weights, "node").select("bucket", "node", "n", "weight"))
+    best = F.max(F.struct("weight", (-F.col("node")).alias("first"))).alias("hub")
+    hubs = weighed.groupBy("bucket").agg(best).select("bucket", (-F.col("hub.first")).alias("hub"), F.col("hub.weight").alias("hub_weight"))
+    stars = weighed.join(hubs, "bucket").where("node <> hub").select("hub", "hub_weight", "node").distinct()
+    main = stars.groupBy("node").agg(F.max(F.struct("hub_weight", (-F.col("hub")).alias("first"))).alias("main"))
+    stars = stars.join(main, "node").select(F.col("hub").alias("a"), F.col("node").alias("b"), (F.col("hub") == -F.col("main.first")).alias("main"))
+    first = written(with_comparison(stars, texts))
+    links = first.where("got.s > 0").select("a", "b")
     found = components(links)
 
-    def placed(rows: DataFrame) -> DataFrame:
-        return rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-
-    mixed_buckets = placed(crowd.select("bucket", "node", "n"))
-    several = mixed_buckets.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    crowd = mixed_buckets.join(several.select("bucket"), "bucket")
-    sizes = crowd.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-    order = Window.partitionBy("bucket").orderBy("size", "component", "node")
-    rest = crowd.join(sizes, ["bucket", "component"]).select("bucket", "node", "n", F.row_number().over(order).alias("rank"))
-    rest, done = written(rest), 0
-    while True:
-        now = written(placed(rest))
-        left = now.where(F.col("rank") > done).groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        active = written(left.where("low < high").select("bucket"))
-        if active.isEmpty():
-            return found
-        now = now.join(active, "bucket")
-        pivots = now.where((F.col("rank") > done) & (F.col("rank") <= done + PIVOTS)).select(
-            "bucket", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("rank").alias("pr"), F.col("component").alias("pc")
-        )
-        pairs = now.join(pivots, "bucket").where((F.col("rank") > F.col("pr")) & (F.col("component") != F.col("pc")) & like(F.col("n"), F.col("pn")))
-        pairs = pairs.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-        more = written(verified(pairs, texts))
-        if not more.isEmpty():
-            links = written(links.union(more))
-            found = components(links)
-        done += PIVOTS
+    # What each node shares with its main hub, and how much of the rest some other node of that hub has too.
+    own = first.where("got.common is not null").select(F.col("a").alias("hub"), F.col("b").alias("node"), "got.common", "got.others")
+    alone = (
+        own.select("hub", "node", F.explode("others").alias("shingle"))
+        .groupBy("hub", "shingle").agg(F.count("*").alias("times"), F.min("node").alias("node")).where("times = 1")
+        .groupBy("node").agg(F.count("*").alias("alone"))
+    )
+    known = own.join(alone, "node", "left").select("node", "hub", "common", (F.size("others") - F.coalesce("alone", F.lit(0))).alias("rest"))
+
+    placed = weighed.select("bucket", "node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    left_over = written(placed.join(several.select("bucket"), "bucket").join(known, "node", "left"))
+    r, q = left_over.alias("r"), left_over.alias("q")
+    needed = SIMILARITY / (1 + SIMILARITY) * (F.col("r.n") + F.col("q.n")) - 1e-6
+    alike = F.least("r.n", "q.n") >= SIMILARITY * F.greatest("r.n", "q.n") - 1e-6
+    most = F.least("r.common", "q.common") + F.least("r.rest", "q.rest")
+    bounded = F.coalesce((F.col("r.hub") != F.col("q.hub")) | (most >= needed), F.lit(True))
+    on = (F.col("r.bucket") == F.col("q.bucket")) & (F.col("r.node") < F.col("q.node")) & (F.col("r.component") != F.col("q.component"))
+    pairs = r.join(q, on & alike & bounded).select(F.col("r.node").alias("a"), F.col("q.node").alias("b"), F.lit(False).alias("main")).distinct()
+    more = written(with_comparison(pairs, texts).where("got.s > 0").select("a", "b"))
+    return found if more.isEmpty() else components(links.union(more))
 
 
 def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

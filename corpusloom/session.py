@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,12 +29,36 @@ RUNTIME_CONF = {
 
 
 def apply_runtime_conf(spark: SparkSession) -> SparkSession:
-    """Set the session options that change results or plan quality."""
+    """Set the session options that change results or plan quality, and send the package to the workers."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per application.
+
+    Spark's own file server deals out the archive, so workers need neither an
+    installation nor the driver's path.
+    """
+    application = spark.sparkContext.applicationId
+    if application in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="corpusloom-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = f"{folder}/{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(application)
+
+
 def local_session(app: str = "corpusloom", cores: str | int = "*", partitions: int = 8) -> SparkSession:
     """Session for tests and the benchmark; a cluster brings its own."""
     builder = (
@@ -47,6 +73,7 @@ def local_session(app: str = "corpusloom", cores: str | int = "*", partitions: i
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 

@@ -19,6 +19,7 @@ alone. Repeated rows are packed as often as they occur. Equal lengths are taken
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -35,28 +36,72 @@ END_ID = 1
 #: Pieces of a group, about.
 GROUP = 150_000
 #: Words whose ids a worker keeps.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 600_000
+#: Bytes of text whose new words are learnt together.
+BATCH_BYTES = 4_000_000
 
 
 class Ids:
-    """Ids of texts as little-endian unsigned 32-bit bytes, word by word."""
+    """Ids of texts as little-endian unsigned 32-bit bytes, word by word.
+
+    The tokenizer lowers its text, so ASCII letters are lowered before words are looked up, except
+    where a text might hold a special token. A full stop or comma behind an ASCII letter or digit
+    is a pre-token of its own. Words met lately are kept when the store is begun anew.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
-
-    def learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > KNOWN_WORDS:
-            self.known.clear()
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in words], add_special_tokens=False)
-        self.known.update(zip(words, [np.array(e.ids, "<u4").tobytes() for e in found], strict=True))
-
-    def of(self, text: str | None) -> bytes:
-        words = (text or "").encode("utf-8", "surrogatepass").split()
-        new = [w for w in set(words) if w not in self.known]
+        self.before: dict[bytes, bytes] = {}
+        self.marks = {m: self._encoded([m])[0] for m in (b".", b",")}
+
+    def _encoded(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, from one call on all of them as lines."""
+        texts = [w.decode("utf-8", "surrogatepass") for w in words]
+        found = self.tokenizer.encode("\n".join(texts), add_special_tokens=False)
+        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        cuts = np.searchsorted(np.fromiter((o[0] for o in found.offsets), np.int64, len(found)), starts) * 4
+        data = np.array(found.ids, "<u4").tobytes()
+        return [data[i:j] for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+    def learn(self, words: set[bytes]) -> None:
+        """Make all ``words`` known."""
+        missing = words - self.known.keys()
+        if len(self.known) + len(missing) > KNOWN_WORDS:
+            self.before, self.known, missing = self.known, {}, words
+        known, before = self.known, self.before
+        marked, new = [], set()
+        for word in missing:
+            if (found := before.get(word)) is not None:
+                known[word] = found
+                continue
+            if word[-1:] in self.marks and word[-2:-1].isalnum() and b"<|" not in word:
+                marked.append(word)
+                word = word[:-1]
+                if (found := before.get(word)) is not None:
+                    known[word] = found
+            if word not in known:
+                new.add(word)
         if new:
-            self.learn(new if len(self.known) + len(new) <= KNOWN_WORDS else list(set(words)))
-        return b"".join(map(self.known.__getitem__, words))
+            ordered = list(new)
+            known.update(zip(ordered, self._encoded(ordered), strict=True))
+        for word in marked:
+            known[word] = known[word[:-1]] + self.marks[word[-1:]]
+
+    def of(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Ids of each text; new words of many texts are learnt at once."""
+        k = 0
+        while k < len(texts):
+            split, size, words = [], 0, set()
+            while k < len(texts) and size < BATCH_BYTES:
+                data = (texts[k] or "").encode("utf-8", "surrogatepass")
+                split.append((data if b"<|" in data else data.lower()).split())
+                words.update(split[-1])
+                size += len(data)
+                k += 1
+            self.learn(words)
+            for each in split:
+                yield b"".join(map(self.known.__getitem__, each))
 
 
 @lru_cache(maxsize=1)
@@ -78,8 +123,8 @@ def pieces(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = (), capacity
         for batch in batches:
             at, piece, data = [], [], []
             size = 0
-            for k, text in enumerate(batch.column("text").to_pylist()):
-                whole = ids.of(text) + end
+            for k, whole in enumerate(ids.of(batch.column("text").to_pylist())):
+                whole += end
                 for j, start in enumerate(range(0, len(whole), step)):
                     at.append(k)
                     piece.append(j)

@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from corpusloom.config import DEFAULTS, Options
 from corpusloom.functions import text as T
+from corpusloom.session import written
 
 DIM = 64
 MODEL = "hashing-64"
-# Question vectors one task may hold; more are searched in further passes.
-MAX_QUERY_BYTES = 64 * 1024 * 1024
-# Scores a task works out at a time.
-MAX_SCORES = 4_000_000
+# Vectors of a block of chunks, and of questions; two blocks meet in one matrix product.
+CHUNK_BLOCK, QUESTION_BLOCK = 2048, 512
+# Rows of best chunks that a task keeps before it passes them on.
+MAX_KEPT = 500_000
 
 
 # --------------------------------------------------------------------------- embedding
@@ -113,109 +114,128 @@ def cosine_pairs(pairs: DataFrame, left: str, right: str) -> DataFrame:
     return pairs.withColumn("cosine", F.round(cosine(F.col(left), F.col(right)), 6))
 
 
-class _Matrix:
-    """Question vectors of one search group (a tenant, or a cell)."""
+def _unit(listed: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of length ``dim`` as unit rows (zero for a zero vector), and the places of those."""
+    sizes = np.diff(listed.offsets.to_numpy())
+    fits = np.flatnonzero(sizes == dim)
+    flat = listed.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    starts = np.concatenate(([0], np.cumsum(sizes)))[:-1]
+    rows = flat[starts[fits][:, None] + np.arange(dim)] if len(fits) else np.zeros((0, dim))
+    norms = np.linalg.norm(rows, axis=1, keepdims=True)
+    return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0), fits
 
-    def __init__(self, ids: list, vectors: np.ndarray):
-        norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-        self.ids = ids
-        self.unit = np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
 
+def _blocks(df: DataFrame, group: str, key: str, kind: str, size: int, name: str) -> DataFrame:
+    """Vectors packed where they lie: one row per search group, vector length and up to ``size`` vectors.
 
-def _local_best(groups: dict[str, _Matrix], k: int, group: str):
-    """Task-side search: a matrix product per batch, the k best kept per question."""
+    ``dim`` -1 holds the keys of vectors that are missing; they are packed without numbers.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict = {}
+        held: dict[tuple, list] = {}
+
+        def packed(at: tuple) -> pa.RecordBatch:
+            parts = held.pop(at)
+            keys = pa.concat_arrays([k for k, _ in parts])
+            data = np.concatenate([v for _, v in parts]).astype(np.float64).tobytes()
+            lists = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([at[0]], pa.string()), pa.array([at[1]], pa.int32()), lists, pa.array([data], pa.binary())],
+                [group, "dim", f"{name}_keys", f"{name}_data"],
+            )
+
         for batch in batches:
-            names = batch.schema.names
-            keys = np.array(batch.column(names.index(group)).to_pylist(), dtype=object)
-            chunk_ids = np.array(batch.column(names.index("chunk_id")).to_pylist(), dtype=object)
-            listed = batch.column(names.index("embedding"))
-            sizes = np.diff(listed.offsets.to_numpy())
-            flat = listed.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            starts = np.concatenate(([0], np.cumsum(sizes)))
-            for key in set(keys.tolist()):
-                matrix = groups.get(key)
-                if matrix is None:
+            groups = batch.column(0).dictionary_encode()
+            codes = groups.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            listed = batch.column(2)
+            sizes = np.where(listed.is_null().to_numpy(zero_copy_only=False), -1, np.diff(listed.offsets.to_numpy()))
+            for code, dim in {*zip(codes.tolist(), sizes.tolist(), strict=True)}:
+                if code < 0 or (dim < 1 and name == "q"):
                     continue
-                dim = matrix.unit.shape[1]
-                rows = np.flatnonzero(keys == key)
-                unit = np.zeros((len(rows), dim))
-                fits = sizes[rows] == dim
-                if fits.any():
-                    block = flat[starts[rows[fits]][:, None] + np.arange(dim)]
-                    norms = np.linalg.norm(block, axis=1, keepdims=True)
-                    unit[fits] = np.divide(block, norms, out=np.zeros_like(block), where=norms > 0)
-                ids = chunk_ids[rows]
-                width = max(1, MAX_SCORES // len(rows))
-                for at in range(0, len(matrix.ids), width):
-                    scores = unit @ matrix.unit[at : at + width].T
-                    scores = np.round(np.clip(scores, 0.0, 1.0), 6)
-                    for query, column in zip(matrix.ids[at : at + width], scores.T):
-                        near = np.arange(len(column))
-                        if len(column) > k:
-                            floor = np.partition(column, len(column) - k)[len(column) - k]
-                            near = np.flatnonzero(column >= floor)
-                            above = int((column > floor).sum())
-                            if len(near) > k:  # ties at the edge: lowest ids win
-                                tied = np.flatnonzero(column == floor)
-                                tied = tied[np.argsort(ids[tied].astype(str))][: k - above]
-                                near = np.concatenate((np.flatnonzero(column > floor), tied))
-                        pairs = best.get((key, query), []) + list(zip((-column[near]).tolist(), ids[near]))
-                        best[(key, query)] = sorted(pairs)[:k]
-        flat_rows = [
-            (key, query, cid, -neg) for (key, query), top in best.items() for neg, cid in top
-        ]
-        if flat_rows:
-            cols = list(zip(*flat_rows))
-            yield pa.RecordBatch.from_arrays(
+                rows = np.flatnonzero((codes == code) & (sizes == dim))
+                part = listed.take(pa.array(rows))
+                unit = _unit(part, dim)[0] if dim > 0 else np.zeros((len(rows), 0))
+                at = (groups.dictionary[code].as_py(), max(dim, 0))
+                held.setdefault(at, []).append((batch.column(1).take(pa.array(rows)), unit))
+                if sum(len(k) for k, _ in held[at]) >= size:
+                    yield packed(at)
+        for at in list(held):
+            yield packed(at)
+
+    schema = f"{group} string, dim int, {name}_keys array<{kind}>, {name}_data binary"
+    return df.select(group, key, "embedding").mapInArrow(run, schema)
+
+
+def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best of a row, ties by id."""
+    if len(scores) > k:
+        floor = np.partition(scores, len(scores) - k)[len(scores) - k]
+        near = np.flatnonzero(scores >= floor)
+    else:
+        near = np.arange(len(scores))
+    return near[np.lexsort((ids[near].astype(str), -scores[near]))[:k]]
+
+
+def _block_best(k: int, group: str):
+    """A matrix product per pair of blocks; a task keeps the k best chunks of each question it meets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+
+        def out() -> pa.RecordBatch:
+            counts = [len(ids) for ids, _ in best.values()]
+            record = pa.RecordBatch.from_arrays(
                 [
-                    pa.array(cols[0], pa.string()),
-                    pa.array(cols[1], pa.int64()),
-                    pa.array(cols[2], pa.string()),
-                    pa.array([float(x) for x in cols[3]], pa.float64()),
+                    pa.array(np.repeat(np.array([g for g, _ in best], object), counts), pa.string()),
+                    pa.array(np.repeat(np.array([q for _, q in best], np.int64), counts), pa.int64()),
+                    pa.array(np.concatenate([i for i, _ in best.values()]), pa.string()),
+                    pa.array(np.concatenate([s for _, s in best.values()]), pa.float64()),
                 ],
                 names=[group, "query_id", "chunk_id", "score"],
             )
+            best.clear()
+            return record
 
-    return run
-
+        for batch in batches:
+            for row in range(batch.num_rows):
+                at = {name: batch.column(i)[row] for i, name in enumerate(batch.schema.names)}
+                ids = np.array(at["c_keys"].values.to_pylist(), object)
+                asked = at["q_keys"].values.to_numpy(zero_copy_only=False)
+                wide, dim = at["q_dim"].as_py(), at["c_dim"].as_py()
+                if wide == dim:
+                    chunk = np.frombuffer(at["c_data"].as_buffer(), np.float64).reshape(len(ids), dim)
+                    question = np.frombuffer(at["q_data"].as_buffer(), np.float64).reshape(len(asked), dim)
+                    scores = np.round(np.clip(question @ chunk.T, 0.0, 1.0), 6)
+                else:
+                    scores = np.zeros((len(asked), len(ids)))
+                name = at[group].as_py()
+                for query, line in zip(asked.tolist(), scores, strict=True):
+                    near = _top(line, ids, k)
+                    found, held = ids[near], line[near]
+                    if (name, query) in best:
+                        before = best[name, query]
+                        found, held = np.concatenate((before[0], found)), np.concatenate((before[1], held))
+                        keep = _top(held, found, k)
+                        found, held = found[keep], held[keep]
+                    best[name, query] = (found, held)
+                if len(best) * k > MAX_KEPT:
+                    yield out()
+        if best:
+            yield out()
 
-def _searched(chunks: DataFrame, queries: DataFrame, k: int, group: str) -> DataFrame:
-    rows = queries.select(group, "query_id", "embedding").collect()  # size checked by the caller
-    by_group: dict[str, list] = {}
-    for r in rows:
-        if r["embedding"]:
-            by_group.setdefault(r[group], []).append((r["query_id"], r["embedding"]))
-    groups = {
-        g: _Matrix([q for q, _ in items], np.array([v for _, v in items], dtype=np.float64))
-        for g, items in by_group.items()
-    }
-    return chunks.select(group, "chunk_id", "embedding").mapInArrow(
-        _local_best(groups, k, group), f"{group} string, query_id long, chunk_id string, score double"
-    )
+    return run
 
 
 def local_topk(chunks: DataFrame, queries: DataFrame, k: int, group: str = "tenant_id") -> DataFrame:
     """Best k chunks per question and task, within the search group.
 
-    The question side is counted first. Up to ``MAX_QUERY_BYTES`` it travels to
-    every task in one pass over the chunks; a larger one is cut by hash into
-    slices of that size, one pass each, so nothing unbounded is collected.
+    Both sides are packed into blocks where they lie; blocks of a group meet by a join
+    that Spark plans from their sizes, and a task multiplies two blocks at a time.
     """
-    stats = queries.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
-    size = (stats["n"] or 0) * ((stats["dim"] or 0) * 8 + 64)
-    # Slices are cut by hash; a third of head-room absorbs their unevenness.
-    slices = 1 if size <= MAX_QUERY_BYTES else -(-size * 4 // (3 * MAX_QUERY_BYTES))
-    found = None
-    for i in range(slices):
-        part = queries
-        if slices > 1:
-            part = queries.filter(F.pmod(F.xxhash64(group, "query_id"), F.lit(slices)) == i)
-        hits = _searched(chunks, part, k, group)
-        found = hits if found is None else found.unionByName(hits)
-    return found
+    asked = _blocks(queries, group, "query_id", "bigint", QUESTION_BLOCK, "q").withColumnRenamed("dim", "q_dim")
+    stored = _blocks(chunks, group, "chunk_id", "string", CHUNK_BLOCK, "c").withColumnRenamed("dim", "c_dim")
+    met = stored.join(written(asked), group)
+    return met.mapInArrow(_block_best(k, group), f"{group} string, query_id long, chunk_id string, score double")
 
 
 def cosine_topk(

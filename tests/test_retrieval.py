@@ -105,10 +105,11 @@ def test_exact_search_against_brute_force(spark):
     assert grouped(vectors.cosine_topk(c.repartition(5), q, k=7)) == want
 
 
-def test_exact_search_in_slices(spark, monkeypatch):
+def test_exact_search_in_small_blocks(spark, monkeypatch):
     c, q, want = vector_case(spark)
-    monkeypatch.setattr(vectors, "MAX_QUERY_BYTES", 400)
-    monkeypatch.setattr(vectors, "MAX_SCORES", 100)
+    monkeypatch.setattr(vectors, "CHUNK_BLOCK", 5)
+    monkeypatch.setattr(vectors, "QUESTION_BLOCK", 2)
+    monkeypatch.setattr(vectors, "MAX_KEPT", 20)
     assert grouped(vectors.cosine_topk(c, q, k=7)) == want
 
 

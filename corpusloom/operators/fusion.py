@@ -110,6 +110,11 @@ def rerank_apply(candidates: DataFrame, orders: DataFrame, options: Options = DE
     return joined.withColumn("new_rank", F.row_number().over(w)).drop("_new")
 
 
+def reranked(candidates: DataFrame, orders: DataFrame, options: Options = DEFAULTS) -> DataFrame:
+    """Candidates in the new order only: what later steps call the rank."""
+    return rerank_apply(candidates, orders, options).drop("rank").withColumnRenamed("new_rank", "rank")
+
+
 def dedup_candidates(candidates: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     """Keep a candidate unless it repeats one already kept.
 

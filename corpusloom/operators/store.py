@@ -15,7 +15,7 @@ DOC = ["tenant_id", "document_id"]
 
 def upsert_chunks(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """Incoming rows replace stored ones of the same id; a row whose id names another
-    tenant fails the job."""
+    tenant, or whose vector is of another model than the tenant's stored ones, fails the job."""
     own = F.col("chunk_id").startswith(F.concat("tenant_id", F.lit(":")))
     checked = incoming.withColumn(
         "tenant_id",
@@ -23,6 +23,14 @@ def upsert_chunks(stored: DataFrame, incoming: DataFrame) -> DataFrame:
             F.raise_error(F.lit("tenant_id missing or different from the chunk's"))
         ),
     )
+    if "embedding_model" in stored.columns and "embedding_model" in incoming.columns:
+        models = stored.groupBy("tenant_id").agg(F.min("embedding_model").alias("_model"))
+        mixed = F.raise_error(F.concat(F.lit("the collection holds vectors of "), "_model", F.lit(", not of "), "embedding_model"))
+        checked = (
+            checked.join(models, "tenant_id", "left")
+            .withColumn("embedding_model", F.when(F.col("embedding_model") != F.col("_model"), mixed).otherwise(F.col("embedding_model")))
+            .drop("_model")
+        )
     return stored.join(incoming.select(*ID), ID, "left_anti").unionByName(checked)
 
 

@@ -53,6 +53,16 @@ def stage_histogram(stages: DataFrame) -> DataFrame:
     return histogram(stages, ["stage"], "seconds", P.STAGE_BUCKETS)
 
 
+def generation_histograms(calls: DataFrame) -> DataFrame:
+    """Tokens per second and tokens per answer of the calls that generated something."""
+    made = calls.filter("eval_count > 0")
+    speed = histogram(made.filter("tokens_per_second > 0"), [], "tokens_per_second", P.SPEED_BUCKETS)
+    length = histogram(made, [], "eval_count", P.LENGTH_BUCKETS)
+    return speed.select(F.lit("tokens_per_second").alias("metric"), "*").unionByName(
+        length.select(F.lit("answer_tokens").alias("metric"), "*")
+    )
+
+
 def outcome_counts(answers: DataFrame) -> DataFrame:
     """Answers by outcome and by flag, as (metric, label, total)."""
     labels = F.concat(

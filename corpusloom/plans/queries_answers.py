@@ -160,20 +160,28 @@ def outcome_counts(spark, d):
     return telemetry.outcome_counts(out.withColumn("trimmed", F.col("conv_id") % 3 == 0))
 
 
-@query
-def model_throughput(spark, d):
-    calls = w.timed(w.table(spark, d, "events")).select(
+def _calls(spark, d):
+    return w.timed(w.table(spark, d, "events")).select(
         "event_id",
         (F.col("value") * 1_000_000_000).cast("long").alias("total_duration"),
         F.when(F.col("event_id") % 3 > 0, (F.col("value") * 1_000_000).cast("long")).alias("load_duration"),
         (F.col("event_id") % 5 * 400_000).alias("eval_duration"),
         F.when(F.col("event_id") % 7 > 0, F.col("user_id")).alias("eval_count"),
     )
-    return telemetry.model_throughput(calls).select(
+
+
+@query
+def model_throughput(spark, d):
+    return telemetry.model_throughput(_calls(spark, d)).select(
         "event_id", "total_duration_ms", "load_duration_ms", "eval_duration_ms", "tokens_per_second"
     )
 
 
+@query
+def generation_histograms(spark, d):
+    return telemetry.generation_histograms(telemetry.model_throughput(_calls(spark, d)))
+
+
 @query
 def feedback_join(spark, d):
     events = w.timed(w.table(spark, d, "events")).select(

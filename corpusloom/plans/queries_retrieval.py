@@ -209,6 +209,13 @@ def hybrid_retrieve(spark, d):
     )
 
 
+@query
+def hybrid_retrieve_reranked(spark, d):
+    """Retrieval whose candidates a reranking model has put in a new order before the selection."""
+    st, q = r.store(spark, d), w.questions(spark, d)
+    return r.hybrid_retrieve(st, q, orders=_orders(spark, d)).select(*TQ, "source_no", "chunk_id")
+
+
 @query
 def source_projection(spark, d):
     return fusion.source_projection(_selected(spark, d))

@@ -134,9 +134,13 @@ def hybrid_retrieve(
     use_bm25: bool = True,
     use_graph: bool = True,
     options: Options = DEFAULTS,
+    orders: DataFrame | None = None,
 ) -> DataFrame:
-    """Selected sources of each question."""
-    return fusion.select_context(candidates(st, questions, use_bm25, use_graph, options), options)
+    """Selected sources of each question; ``orders`` are a reranking model's answers, if one was asked."""
+    ranked = candidates(st, questions, use_bm25, use_graph, options)
+    if orders is not None:
+        ranked = fusion.reranked(ranked, orders, options)
+    return fusion.select_context(ranked, options)
 
 
 def gold_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,6 +113,17 @@ SELECT event_id, td // 1000000 AS total_duration_ms, coalesce(ld // 1000000, 0)
   CASE WHEN ed // 1000000 > 0 AND n > 0 THEN round(n / ((ed // 1000000) / 1000.0::double), 2) ELSE 0.0 END AS tokens_per_second
 FROM (SELECT event_id, cast(trunc(value * 1000000000) AS bigint) AS td, CASE WHEN event_id % 3 > 0 THEN cast(trunc(value * 1000000) AS bigint) END AS ld, event_id % 5 * 400000 AS ed,
  CASE WHEN event_id % 7 > 0 THEN user_id ELSE 0 END AS n FROM events)"""
+_calls = SQL["model_throughput"].replace("SELECT event_id, td", "SELECT n AS eval_count, event_id, td")
+_made = "\nUNION ALL ".join(
+    f"""SELECT '{metric}' AS metric, b.le, count(*) FILTER ({value} <= b.v) AS cumulative, count(*) AS count, round(sum({value}), 6)::double AS sum
+FROM ({_calls}) c, (VALUES {", ".join(f"('{float(b)}', {b}::double)" for b in bounds)}, ('+Inf', 'infinity'::double)) b(le, v)
+WHERE eval_count > 0 AND {value} > 0 GROUP BY ALL"""
+    for metric, value, bounds in (
+        ("tokens_per_second", "tokens_per_second", P.SPEED_BUCKETS),
+        ("answer_tokens", "eval_count", P.LENGTH_BUCKETS),
+    )
+)
+SQL["generation_histograms"] = _made
 SQL["feedback_join"] = """
 SELECT event_type AS stage, count(*) AS requests, count(quality) AS rated, round(avg((quality = 1)::int), 6) AS useful_rate
 FROM events LEFT JOIN labels ON doc_id = event_id GROUP BY event_type"""

@@ -143,6 +143,14 @@ CTES["kept"] = _dedup("relevant")
 CTES["selected"] = """
 SELECT * FROM (SELECT *, cast(row_number() OVER (PARTITION BY tenant_id, query_id ORDER BY rank) AS int) AS source_no FROM relevant JOIN kept USING (tenant_id, query_id, chunk_id))
 WHERE source_no <= 4"""
+CTES["reordered"] = """
+SELECT c.* REPLACE (cast(row_number() OVER (PARTITION BY c.tenant_id, c.query_id ORDER BY coalesce(nullif(list_position(o, rank), 0), 1000 + rank)) AS int) AS rank)
+FROM cands c JOIN orders USING (tenant_id, query_id) WHERE rank <= 20"""
+CTES["fitting"] = CTES["relevant"].replace("FROM cands", "FROM reordered")
+CTES["unrepeated"] = _dedup("fitting")
+SQL["hybrid_retrieve_reranked"] = """
+SELECT tenant_id, query_id, source_no, chunk_id FROM (SELECT *, cast(row_number() OVER (PARTITION BY tenant_id, query_id ORDER BY rank) AS int) AS source_no
+FROM fitting JOIN unrepeated USING (tenant_id, query_id, chunk_id)) WHERE source_no <= 4"""
 SQL["dedup_candidates"] = _dedup("cands")
 SQL["select_context"] = "SELECT tenant_id, query_id, source_no, chunk_id FROM selected"
 SQL["hybrid_retrieve"] = """

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.config import DEFAULTS
 from corpusloom.functions import text as T
-from corpusloom.operators import context, evaluate, fusion, lexical, planning, vectors
+from corpusloom.operators import context, evaluate, fusion, lexical, neighbours, planning, vectors
 from corpusloom.plans import evaluation as ev
 from corpusloom.plans import retrieval as r
 from corpusloom.plans import workload as w
@@ -192,6 +192,11 @@ def dedup_candidates(spark, d):
     return fusion.dedup_candidates(_candidates(spark, d)).select(*TQ, "chunk_id")
 
 
+@query
+def near_duplicate_chunks(spark, d):
+    return neighbours.near_duplicate_chunks(r.store(spark, d).chunks.select("tenant_id", "chunk_id", "tokens"))
+
+
 def _selected(spark, d):
     return r.hybrid_retrieve(r.store(spark, d), w.questions(spark, d))
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.config import DEFAULTS
-from corpusloom.operators import context, fusion, graph, lexical, planning, vectors
+from corpusloom.operators import context, fusion, graph, lexical, neighbours, planning, vectors
 from corpusloom.plans import evaluation as ev
 from corpusloom.plans import retrieval as r
 from corpusloom.plans import workload as w
@@ -280,3 +280,29 @@ def test_gold_documents_agree_with_all_pairs(spark, sf):
 
     want = duckdb.sql(f"select count(*) from '{sf}/documents.parquet' d, '{sf}/benchmark.parquet' b where contains(d.text, b.text)").fetchall()[0][0]
     assert r.gold_documents(spark, sf).count() == want > 0
+
+
+def test_near_duplicate_chunks_against_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for base in range(12):
+        terms = [f"w{x}" for x in rng.choice(60, int(rng.integers(1, 30)), replace=False)]
+        for copy in range(4):
+            kept = [t for t in terms if rng.random() > 0.04] + ([f"x{base}{copy}"] if rng.random() < 0.3 else [])
+            rows.append((f"t{base % 2}", f"c{base}-{copy}", kept + kept[:1]))
+    rows += [("t0", "e1", []), ("t0", "e2", [])] + [("t0", f"same{k}", ["a", "b"]) for k in range(50)]
+    df = spark.createDataFrame(rows, "tenant_id string, chunk_id string, tokens array<string>")
+    classes = {}
+    for t, c, terms in rows:
+        if terms:
+            key = (t, frozenset(terms))
+            classes[key] = min(classes.get(key, c), c)
+    ids = sorted((t, c, s) for (t, s), c in classes.items())
+    want = {
+        (t, a, b): round(len(x & y) / len(x | y), 6)
+        for i, (t, a, x) in enumerate(ids) for u, b, y in ids[i + 1 :] if t == u and len(x & y) / len(x | y) >= 0.9
+    }
+    got = {(x["tenant_id"], x["left_id"], x["right_id"]): x["similarity"] for x in neighbours.near_duplicate_chunks(df).collect()}
+    assert got == want and len(want) > 3
+    members = {x["chunk_id"]: x["representative"] for x in neighbours.class_members(df).collect()}
+    assert members == {c: classes[t, frozenset(s)] for t, c, s in rows if s}

@@ -234,6 +234,7 @@ def chunk_headers(chunks: DataFrame, meta: DataFrame) -> DataFrame:
     """
     joined = chunks.join(meta.drop("head_text"), DOC)
     unknown = F.lit(P.UNKNOWN)
+    # The labels of the header lines.
     header = F.concat_ws(
         "\n",
         F.concat(F.lit("Documento: "), F.coalesce("document_title", "filename")),

@@ -47,6 +47,7 @@ def norm_label() -> Column:
 
 def edges_from_metadata(meta: DataFrame) -> DataFrame:
     """Edges of the document's own fields."""
+    # Relations, kinds and the span of the head.
     head, norm = F.lit("cabeçalho"), ("norma", norm_label())
     listed = F.array(
         _edge(F.lit(1), "identifica", ("documento", F.col("filename")), norm, head),
@@ -89,6 +90,7 @@ def edges_from_topics(hits: DataFrame, meta: DataFrame) -> DataFrame:
     at, span, name = F.col("chunk") * STEP + F.col("i") * 3, F.col("span"), _topic(F.col("i"))
     doc = ("documento", F.col("filename"))
     label = F.concat("filename", F.lit("::"), "span")
+    # Relations and kinds.
     listed = F.array(
         _edge(at, "trata_de", doc, ("tema", name), span),
         _edge(at + 1, "regula", ("norma", F.col("_norm")), ("assunto", name), span),

@@ -141,6 +141,7 @@ def assess_evidence(
     conflict = some & (F.col("unverified_count") > 0) & (F.col("_in_force") > 0)
     few = some & (n < min_chunks)
     unmatched = some & ~few & F.lit(require_exact) & F.col("literal_ref") & ~exact
+    # Names of gaps.
     gaps = F.array_compact(
         F.array(
             F.when(~some, "no_chunks_selected"),

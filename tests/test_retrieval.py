@@ -248,7 +248,7 @@ def test_repair_loop_stops(spark):
     )
     empty = spark.createDataFrame([], "tenant_id string, edge_id string, document_id string, relation string, source_span string, validation_status string, source_id string, target_id string, source_norm string, target_norm string")
     alias = spark.createDataFrame([], "tenant_id string, entity_id string, alias_normalized string")
-    st = r.Store(chunks, empty, None, alias)
+    st = r.Store(chunks, lexical.inverted_index(lexical.chunk_tokens(chunks)), empty, None, alias)
     q = ask(spark, TEXTS[2][1], "zzz qqq www", "o zzz lei 9 yyy")
     got = {x["query_id"]: x for x in ev.repair_loop(st, q).collect()}
     assert (got[0]["attempts"], got[0]["stop_reason"]) == (0, "evidence_sufficient")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,3 +40,18 @@ def word_count(text: Column) -> Column:
 def held_out(doc_id: Column) -> Column:
     """The fold that no model learns from. A null id is never held out and never labelled."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+@contextmanager
+def bloom_filtered_joins(spark: SparkSession) -> Iterator[None]:
+    """Joins planned inside drop rows that a Bloom filter of the smaller, filtered side rules out, before any shuffle.
+
+    Spark builds the filter itself, of bounded size, and only from a side of bounded size.
+    """
+    key = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "0")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

@@ -40,6 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from corpusloom.llm.common import bloom_filtered_joins
 from corpusloom.session import written
 
 WORDS = 5
@@ -247,11 +248,12 @@ def components(links: DataFrame) -> DataFrame:
 
 def linked(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Components (node, component) of nodes that share buckets and are similar. ``members``: bucket, node, n."""
-    shared = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    crowd = written(members.join(shared, "bucket"))
-    weights = written(crowd.groupBy("node").agg(F.sum("size").alias("weight")))
-    # Only texts that share a bucket are ever compared; they are fetched once.
-    texts = written(texts.join(weights.select(F.col("node").alias("row")), "row", "left_semi"))
+    with bloom_filtered_joins(members.sparkSession):
+        shared = written(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
+        crowd = written(members.join(shared.where("size > 1"), "bucket"))
+        weights = written(crowd.groupBy("node").agg(F.sum("size").alias("weight")))
+        # Only texts that share a bucket are ever compared; they are fetched once.
+        texts = written(texts.join(weights.where("weight > 1").select(F.col("node").alias("row")), "row", "left_semi"))
     weighed = written(crowd.join(weights, "node").select("bucket", "node", "n", "weight"))
     best = F.max(F.struct("weight", (-F.col("node")).alias("first"))).alias("hub")
     hubs = weighed.groupBy("bucket").agg(best).select("bucket", (-F.col("hub.first")).alias("hub"), F.col("hub.weight").alias("hub_weight"))

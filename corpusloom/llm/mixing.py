@@ -123,14 +123,26 @@ def fitted(lengths: np.ndarray, counts: np.ndarray, bound: np.ndarray, budget: i
     ``counts``: documents of each length; ``budget`` is less than all of them hold.
     """
     whole = int(lengths @ counts)
-    take = np.array([int(c) * budget // whole for c in counts], np.int64)
-    left = budget - int(lengths @ take)
-    room = np.where(lengths <= left, bound - take, 0)
-    if int(lengths @ room) <= left:  # only documents that are too long remain
-        return take + room
+    share = np.array([int(c) * budget // whole for c in counts], np.int64)
+    room = np.where(lengths <= budget - int(lengths @ share), bound - share, 0)
+    if int(lengths @ (share + room)) <= budget:  # only documents that are too long remain
+        return share + room
+    best = share
+    for limit in (counts, bound):  # documents are repeated only if they cannot fit otherwise
+        take = filled(lengths, share, limit, budget)
+        if int(lengths @ take) > int(lengths @ best):
+            best = take
+        if int(lengths @ best) == budget:
+            break
+    return best
+
+
+def filled(lengths: np.ndarray, share: np.ndarray, limit: np.ndarray, budget: int) -> np.ndarray:
+    """``share`` and more copies, up to ``limit`` of each length, for a sum near ``budget``."""
+    take, left = share.copy(), budget - int(lengths @ share)
     longest = np.argsort(-lengths, kind="stable")
     for k in longest:
-        if lengths[k] <= left and take[k] < bound[k]:
+        if lengths[k] <= left and take[k] < limit[k]:
             take[k] += 1
             left -= int(lengths[k])
     # Give back one document of the longest lengths, so that the programme has room to fit.
@@ -141,7 +153,7 @@ def fitted(lengths: np.ndarray, counts: np.ndarray, bound: np.ndarray, budget: i
     if left > 0:
         order = longest[::-1]
         order = order[lengths[order] <= left]
-        take[order] += knapsack(lengths[order], (bound - take)[order], left)
+        take[order] += knapsack(lengths[order], (limit - take)[order], left)
     return take
 
 

@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -96,6 +98,28 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_dir(spark)
 
 
+_RECORDERS: list[list[str]] = []
+
+
+@contextmanager
+def recorded_tables() -> Iterator[list[str]]:
+    """Paths of the tables that ``written`` stores inside the block, for ``drop_tables``."""
+    paths: list[str] = []
+    _RECORDERS.append(paths)
+    try:
+        yield paths
+    finally:
+        _RECORDERS.pop()
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    paths.clear()
+
+
 def written(df: DataFrame) -> DataFrame:
     """Store a table in the shared folder and read it back.
 
@@ -104,6 +128,8 @@ def written(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for paths in _RECORDERS:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -194,11 +194,13 @@ def score(model: Model | None, stats: Column) -> Column:
 def classify(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted, and the columns named in ``keep``.
 
-    Texts are measured once; the statistics (with the kept columns) are stored, and
-    the fit and the scores read that table.
+    The statistics that the fit reads again and again are stored. Kept columns are not: with
+    any, texts are measured a second time on the way to the scores, so no text is ever copied.
     """
     kept = [c for c in keep if c != "doc_id"]
-    measured = written(docs.select("doc_id", *kept, textstats.column(F.col("text")).alias("stats")))
-    model = fit(measured.select("doc_id", "stats"), labels.select("doc_id", "quality"))
-    scored = measured.select("doc_id", *kept, held_out(F.col("doc_id")).alias("held_out"), score(model, F.col("stats")).alias("score"))
+    stats = textstats.column(F.col("text")).alias("stats")
+    measured = written(docs.select("doc_id", stats))
+    model = fit(measured, labels.select("doc_id", "quality"))
+    rows = docs.select("doc_id", *kept, stats) if kept else measured
+    scored = rows.select("doc_id", *kept, held_out(F.col("doc_id")).alias("held_out"), score(model, F.col("stats")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -161,14 +161,17 @@ def judge(docs: DataFrame, labels: DataFrame, training: DataFrame | None = None,
     ``training``: the documents that ``labels`` describe, if they are not ``docs`` themselves.
     """
     kept = [c for c in keep if c != "doc_id"]
-    measured = written(docs.select("doc_id", *kept, textstats.column(F.col("text")).alias("stats")))
-    learnt = measured
-    if training is not None:
+    measure = textstats.column(F.col("text")).alias("stats")
+    if training is None:
+        rows = learnt = written(docs.select("doc_id", measure))
+    else:
         marked = labels.where("doc_id is not null").select("doc_id").distinct()
-        learnt = training.select("doc_id", "text").join(marked, "doc_id", "left_semi").select("doc_id", textstats.column(F.col("text")).alias("stats"))
+        learnt = training.select("doc_id", "text").join(marked, "doc_id", "left_semi").select("doc_id", measure)
+    if training is not None or kept:
+        rows = docs.select("doc_id", *kept, measure)
     found = fit(learnt, labels.select("doc_id", "quality"))
     stats = F.col("stats")
-    out = measured.select(
+    out = rows.select(
         "doc_id",
         *kept,
         *(stats[c].alias(c) for c in textstats.COUNTS),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom.session import apply_runtime_conf
 
 #: Rows of an Arrow batch, so that a batch of long texts stays small beside a worker's memory.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 #: A word: no space, tab, line feed, vertical tab, form feed or carriage return.
 WHITE_RUN = r"[\x20\x09-\x0D]+"

@@ -51,7 +51,7 @@ KINDS = ((24, 3, 1, 100), (40, 8, 80, None))
 #: Bytes of shingles that a worker keeps of texts it may meet again.
 KEPT_BYTES = 32_000_000
 #: Words whose hashes a worker keeps.
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 150_000
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
 FACTORS = np.random.default_rng(7).integers(0, 2**63, sum(k[0] for k in KINDS), np.uint64) * np.uint64(2) + np.uint64(1)

@@ -36,7 +36,7 @@ END_ID = 1
 #: Pieces of a group, about.
 GROUP = 150_000
 #: Words whose ids a worker keeps.
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 300_000
 #: Bytes of text whose new words are learnt together.
 BATCH_BYTES = 4_000_000
 

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -124,31 +125,54 @@ def generalised(tag: str, attributes: dict[str, str]) -> str:
     return ".".join([tag, *classes])
 
 
+def lineage(e: Element | None) -> Iterator[Element]:
+    """An element and what holds it, innermost first."""
+    while e is not None:
+        yield e
+        e = e.parent
+
+
+def shared(a: Element, b: Element) -> Element:
+    """The innermost element that holds both."""
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.parent or b
+        else:
+            b = b.parent or a
+    return a
+
+
 def parse(page: str) -> tuple[list[Element], list[tuple[Element, str, bool]]]:
     """Elements in page order, and blocks (innermost element, text, heading) outside boilerplate."""
     root = Element("html", "", None, False, 0)
     elements, blocks, stack = [root], [], [root]
     run: list[str] = []
+    read: Element | None = None  # what was open when the text in ``run`` was read
     linked = [0]
     links = 0
 
+    def add(text: str) -> None:
+        nonlocal read
+        run.append(text)
+        if not text.isspace() and read is not stack[-1]:
+            read = stack[-1] if read is None else shared(read, stack[-1])
+
     def flush() -> None:
-        nonlocal run
+        nonlocal run, read
         if run:
             text = " ".join(entities.unescape("".join(run)).split())
             run = []
             if text:
-                holder = next((e for e in reversed(stack) if e.tag in BLOCK or e.tag in ("td", "th")), root)
-                heading = any(e.tag in HEADINGS for e in stack)
-                if not stack[-1].noise and not (heading_only(stack) and not heading):
+                above = list(lineage(read or stack[-1]))
+                holder = next((e for e in above if e.tag in BLOCK or e.tag in ("td", "th")), root)
+                heading = any(e.tag in HEADINGS for e in above)
+                if heading or not any(e.tag == "header" for e in above):
                     blocks.append((holder, text, heading))
                     share = min(linked[0], len(text))
                     credit(holder, len(text), share, heading)
+        read = None
         linked[0] = 0
 
-    def heading_only(open_elements: list[Element]) -> bool:
-        return any(e.tag == "header" for e in open_elements)
-
     def credit(holder: Element, size: int, share: int, heading: bool) -> None:
         e: Element | None = holder
         while e is not None:
@@ -179,7 +203,7 @@ def parse(page: str) -> tuple[list[Element], list[tuple[Element, str, bool]]]:
             mark = n
         if mark > at:
             if not stack[-1].noise:
-                run.append(page[at:mark])
+                add(page[at:mark])
                 if links:
                     linked[0] += mark - at
             at = mark
@@ -187,7 +211,7 @@ def parse(page: str) -> tuple[list[Element], list[tuple[Element, str, bool]]]:
         found = TOKEN.match(page, at)
         if found is None:
             if not stack[-1].noise:
-                run.append("<")
+                add("<")
             at += 1
             continue
         at = found.end()

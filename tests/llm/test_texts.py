@@ -38,6 +38,19 @@ def test_extract_of_odd_pages(page, text):
     assert html_text.extract(page, [])[0] == text
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<p>Text before <select><option>a</option></select> and after</p>", "Text before\nand after"),
+        ('<h1>Title <span class="share"><ul><li>x</ul></span></h1><p>body</p>', "Title\nbody"),
+        ('<p>text <span class="ad">x</p><p>more</p>', "text\nmore"),
+        ("<table><tr><td>a<td><button>b<p>c</p></button></table>", "a"),
+    ],
+)
+def test_text_before_inline_boilerplate_is_kept(page, text):
+    assert html_text.extract(page, [])[0] == text
+
+
 def test_generalised_paths_ignore_numbers():
     assert html_text.vote(PAGE % 3) == html_text.vote(PAGE % 77) == "body.x>div.w.wrap>article.post"
 

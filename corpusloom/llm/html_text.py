@@ -6,8 +6,11 @@ text of links, to its parent, half of it to the parent's parent and a third one
 nothing but headings, names a generalised path (tags with their classes, digits
 removed). Spark counts these votes by host; paths with at least a twentieth of a
 host's votes win, which leaves at most twenty a host. Then every page is parsed
-again and the first winning path that it contains, and that holds text, gives the text; a
-page without one keeps its own best container.
+again. Of the winning paths that it contains, and that hold text, the one whose container scores
+best on that page gives the text; a page without one keeps its own best container.
+Around that container a winning path of more votes goes first, so that no part is cut from an article.
+A path that won by a single vote, which may be the odd page's own, has to score better by
+its odds: a container with n votes outweighs it up to n times.
 
 Boilerplate never scores and is never extracted: menus, page headers and footers,
 sidebars, forms, scripts, notices, adverts, shared links, comments and hidden elements, told by
@@ -267,16 +270,20 @@ def parse(page: str) -> tuple[list[Element], list[tuple[Element, str, bool]]]:
     return elements, blocks
 
 
+def value(e: Element) -> float:
+    return e.score * (1 - e.links / e.text if e.text else 0) * (2 if e.tag in ("article", "main") else 1)
+
+
 def best(elements: list[Element]) -> Element | None:
     """The container with the best score, widened while its parent adds only headings."""
     top, most = None, 0.0
     for e in elements:
-        if not e.noise and e.score:
-            value = e.score * (1 - e.links / e.text if e.text else 0) * (2 if e.tag in ("article", "main") else 1)
-            if value > most:
-                top, most = e, value
-    if top is None:
-        return None
+        if not e.noise and e.score and (worth := value(e)) > most:
+            top, most = e, worth
+    return widened(top) if top else None
+
+
+def widened(top: Element) -> Element:
     while top.parent and top.parent.parent and top.parent.tag != "body":
         up = top.parent
         if up.text - up.headings > top.text - top.headings or (up.headings == top.headings and up.tag not in ("article", "main")):
@@ -301,8 +308,27 @@ def text_in(holders: set[int], blocks: list[tuple[Element, str, bool]]) -> str:
     return "\n".join(out)
 
 
-def extract(page: str | None, paths: list[str]) -> tuple[str, str]:
-    """(text, path) of a page, by the first of ``paths`` that holds text, else by its own best container."""
+def ranked(elements: list[Element], paths: list[str], votes: list[int] | None) -> list[str]:
+    """``paths``, best container on this page first; a container counts for itself and for what it widens to."""
+    worth = dict.fromkeys(paths, 0.0)
+    for e in elements:
+        if not e.noise and e.score:
+            for path in {e.path, widened(e).path} & worth.keys():
+                worth[path] = max(worth[path], value(e))
+    for k, path in enumerate(paths):  # what has more votes and holds the better container is no worse
+        worth[path] = max([worth[path], *(worth[p] for p in paths[k + 1 :] if p.startswith(f"{path}>"))])
+    agreed = [p for p, n in zip(paths, votes, strict=True) if n > 1] if votes else []
+    if agreed:
+        lead = max(agreed, key=lambda p: worth[p])
+        odds = votes[paths.index(lead)]
+        for path, n in zip(paths, votes, strict=True):
+            if n == 1:
+                worth[path] /= odds
+    return sorted(paths, key=lambda p: -worth[p])  # stable: more votes first
+
+
+def extract(page: str | None, paths: list[str], votes: list[int] | None = None) -> tuple[str, str]:
+    """(text, path) of a page, by the best of ``paths`` (most votes first) that holds text, else by its own best container."""
     if not page:
         return "", ""
     elements, blocks = parse(page)
@@ -310,8 +336,9 @@ def extract(page: str | None, paths: list[str]) -> tuple[str, str]:
     for e in elements:
         if not e.noise:
             by_path.setdefault(e.path, []).append(e)
-    for path in paths:
-        if path in by_path and (text := text_in({e.order for e in by_path[path]}, blocks)):
+    held = [k for k, p in enumerate(paths) if p in by_path]
+    for path in ranked(elements, [paths[k] for k in held], [votes[k] for k in held] if votes else None):
+        if (text := text_in({e.order for e in by_path[path]}, blocks)):
             return text, path
     top = best(elements)
     if top is None:
@@ -329,27 +356,29 @@ def votes(html: Column) -> Column:
 
 
 def winners(pages: DataFrame) -> DataFrame:
-    """host, paths: the winning paths of each host, most votes first."""
+    """host, paths, votes: the winning paths of each host, most votes first."""
     counted = written(
         pages.select(host(F.col("url")).alias("host"), votes(F.col("html")).alias("path"))
         .where("path is not null").groupBy("host", "path").agg(F.count("*").alias("n"))
     )
     totals = counted.groupBy("host").agg(F.sum("n").alias("total"))
     kept = counted.join(totals, "host").where(F.col("n") >= LEAST_SHARE * F.col("total"))
-    ranked = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "path")))
-    return kept.groupBy("host").agg(ranked.alias("ranked")).select("host", F.col("ranked.path").alias("paths"))
+    order = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "path")))
+    given = F.transform("ranked.n", lambda n: -n).alias("votes")
+    return kept.groupBy("host").agg(order.alias("ranked")).select("host", F.col("ranked.path").alias("paths"), given)
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """Every page: page_id, url, text, n_chars, path."""
 
-    def run(htmls: pa.Array, paths: pa.Array) -> pa.Array:
-        found = [extract(h, p or []) for h, p in zip(htmls.to_pylist(), paths.to_pylist(), strict=True)]
+    def run(htmls: pa.Array, paths: pa.Array, given: pa.Array) -> pa.Array:
+        rows = zip(htmls.to_pylist(), paths.to_pylist(), given.to_pylist(), strict=True)
+        found = [extract(h, p or [], n) for h, p, n in rows]
         return pa.StructArray.from_arrays([pa.array([t for t, _ in found], pa.string()), pa.array([p for _, p in found], pa.string())], ["text", "path"])
 
     won = written(winners(pages))
     read = arrow_udf(run, "struct<text: string, path: string>")
     rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(won, "host", "left")
-    return rows.select("page_id", "url", read("html", "paths").alias("found")).select(
+    return rows.select("page_id", "url", read("html", "paths", "votes").alias("found")).select(
         "page_id", "url", F.col("found.text").alias("text"), F.length("found.text").cast("long").alias("n_chars"), F.col("found.path").alias("path")
     )

@@ -71,6 +71,25 @@ def test_winning_path_of_the_host_is_used(spark):
     assert html_text.main_texts(pages).count() == len(rows)  # other columns, though they clash, are ignored
 
 
+def test_each_template_of_a_host_keeps_its_article(spark):
+    words = "<p>Whole sentences of the report, one after another, which fill the page.</p>" * 5
+    first = f'<body><div class="content">{words}</div></body>'
+    second = f'<body><article><h1>Head</h1>{words}</article><div class="content"><p>A few words.</p></div></body>'
+    rows = [(k, None, first if k < 6 else second) for k in range(10)]
+    rows += [(k, "http://few.example/", first if k < 13 else second) for k in range(10, 14)]
+    got = html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    for r in got:
+        second_kind = 6 <= r.page_id < 10 or r.page_id == 13
+        assert r.text.count("Whole sentences") == 5 and r.path == ("body>article" if second_kind else "body>div.content")
+
+
+def test_agreed_path_goes_before_a_part_of_it():
+    page = f'<body><div class="text"><p>First.</p><div class="list"><p>{"Many words. " * 9}</p></div><p>Last.</p></div></body>'
+    outer, inner = "body>div.text", "body>div.text>div.list"
+    assert html_text.extract(page, [outer, inner], [9, 2])[1] == outer
+    assert html_text.extract(page, [inner, outer], [9, 2])[1] == inner
+
+
 def test_long_page():
     page = "<article>" + "<p>word &amp; word</p>" * 20_000 + "</article>" + "<div>" * 5000
     assert html_text.extract(page, [])[0].count("\n") == 19_999

@@ -16,6 +16,9 @@ Boilerplate never scores and is never extracted: menus, page headers and footers
 sidebars, forms, scripts, notices, adverts, shared links, comments and hidden elements, told by
 tag, role, or a whole word of class or id.
 
+A block that its names or the tag ``form`` mark may still be a wrapper of the page. Its text is read
+apart, and ``relieve`` makes the block a plain container if the page's text turns out to lie in it.
+
 Edge cases: a null or empty html gives an empty text; a page without containers gives
 the text of its body. A null url is the host ''. Repeated rows are extracted one by one.
 Ties between containers go to the earlier one, between paths to more votes, then to
@@ -50,7 +53,7 @@ BLOCK = frozenset(
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SKIPPED = frozenset(
-    "aside audio button canvas datalist dialog footer form head iframe input label map menu meter nav noscript object progress "
+    "aside audio button canvas datalist dialog footer head iframe input label map menu meter nav noscript object progress "
     "select svg template textarea video".split()
 )
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar tooltip".split())
@@ -62,8 +65,17 @@ NOISE = frozenset(
     "related replies reply respond search share sharing sidebar signup skip skyscraper social sponsor sponsored sponsors subscribe "
     "subscription tags teaser toc toolbar topbar widget widgets".split()
 )
+# Words that mark what readers say; such a block is a wrapper only if no other text is sound.
+READERS = frozenset("comment comments discussion disqus replies reply respond".split())
+#: How often a container in a marked block has to outscore all sound ones; ``article``, ``main`` and wrappers by name once.
+OUTSCORE = 10
+# Class and id names that describe a layout, and names of wrappers.
+LAYOUT = re.compile(r"(?:has|no|with|without)[-_].*|(?:content|main|article|entry)[-_]sidebar[-_](?:wrap|wrapper|container|layout|inner)", re.I)
+WRAPS = re.compile(r"(?:\S*[-_])?(?:wrap|wrapper)(?:[-_]\S*)?", re.I)
 #: Words of class and id names of elements whose ``header`` belongs to the text.
 CONTENT = frozenset("article content entry main post story".split())
+# Elements that can wrap a page.
+WRAPPERS = frozenset("center div fieldset form li ol section table tbody td tr ul".split())
 # Elements whose start ends an open paragraph, item, cell or row.
 CLOSES_P = BLOCK - {"body", "head", "html", "option", "optgroup", "tbody", "tfoot", "thead", "tr", "caption", "legend"}
 CLOSES = {
@@ -93,13 +105,15 @@ CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
 class Element:
-    __slots__ = ("tag", "path", "parent", "noise", "order", "headings", "own", "score", "text", "links", "depth", "inside")
+    __slots__ = ("tag", "path", "parent", "noise", "order", "headings", "own", "score", "text", "links", "depth", "inside", "names", "soft")
 
     def __init__(self, tag: str, path: str, parent: Element | None, noise: bool, order: int):
         self.tag, self.path, self.parent, self.noise, self.order = tag, path, parent, noise, order
         self.depth = parent.depth + 1 if parent else 0
         self.inside = bool(parent) and parent.inside
-        self.score, self.text, self.links, self.headings, self.own = 0.0, 0, 0, 0, 0
+        self.score, self.text, self.links, self.headings = 0.0, 0, 0, 0
+        #: Marked as boilerplate itself by names or tag, its names, and the innermost such block that holds it.
+        self.own, self.names, self.soft = False, "", parent.soft if parent else None
 
 
 def noisy(tag: str, attributes: dict[str, str], inside: bool) -> bool:
@@ -113,13 +127,26 @@ def noisy(tag: str, attributes: dict[str, str], inside: bool) -> bool:
         return True
     if tag in ("html", "body", "article", "main"):
         return False
-    return not NOISE.isdisjoint(words_of(attributes))
+    return tag not in WRAPPERS and marked(attributes)
+
+
+def marked(attributes: dict[str, str]) -> bool:
+    """Class or id has a word of boilerplate, layout names aside."""
+    named = " ".join(n for n in names_of(attributes).split() if not LAYOUT.fullmatch(n))
+    return not NOISE.isdisjoint(split(named))
+
+
+def names_of(attributes: dict[str, str]) -> str:
+    return f"{attributes.get('class', '')} {attributes.get('id', '')}"
+
+
+def split(named: str) -> list[str]:
+    return SPLIT.split(CAMEL.sub(" ", named).lower())
 
 
 def words_of(attributes: dict[str, str]) -> list[str]:
     """Words of an element's class and id."""
-    named = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-    return SPLIT.split(CAMEL.sub(" ", named).lower())
+    return split(names_of(attributes))
 
 
 def generalised(tag: str, attributes: dict[str, str]) -> str:
@@ -145,17 +172,99 @@ def shared(a: Element, b: Element) -> Element:
     return a
 
 
+def credit(holder: Element, size: int, share: int, heading: bool) -> None:
+    """Count a block for its containers, up to the innermost marked one."""
+    soft = holder.soft
+    for e in lineage(holder):
+        if e.soft is not soft:
+            break
+        e.text += size
+        e.links += share
+        e.headings += size if heading else 0
+    if heading:
+        return
+    # A paragraph scores for what holds it; bare text scores for its own element.
+    at = holder.parent if holder.tag in ("p", "li", "pre", "dd", "dt", "blockquote", "td", "th") and holder.parent else holder
+    for part in (1, 2, 3):
+        if at is None or at.soft is not soft:
+            break
+        at.score += (size - share) / part
+        at = at.parent
+
+
+def wrappers(e: Element | None) -> Iterator[Element]:
+    """The marked blocks around an element, itself included."""
+    soft = e.soft if e else None
+    while soft is not None:
+        yield soft
+        soft = soft.parent.soft if soft.parent else None
+
+
+def weigh(elements: list[Element], sizes: list[tuple[Element, int, int, bool]]) -> None:
+    for e in elements:
+        e.score, e.text, e.links, e.headings = 0.0, 0, 0, 0
+        e.soft = e if e.own else e.parent.soft if e.parent else None
+    for block in sizes:
+        credit(*block)
+
+
+def relieve(elements: list[Element], sizes: list[tuple[Element, int, int, bool]]) -> None:
+    """Make marked blocks plain containers where they wrap the text of the page; the rest is boilerplate.
+
+    A form does if most of the paragraphs lie in it. Any block does if a container in it outscores all
+    sound ones: an article, main or one in a wrapper by name at all, others ``OUTSCORE`` times or, like what
+    readers say, only where nothing is sound.
+    """
+    total, inside = 0, dict[Element, int]()
+    for holder, size, share, heading in sizes:
+        if not heading:
+            total += size - share
+            for w in wrappers(holder):
+                if w.tag == "form" and NOISE.isdisjoint(split(w.names)):
+                    inside[w] = inside.get(w, 0) + size - share
+    forms = [w for w, n in inside.items() if 2 * n > total]
+    for w in forms:
+        w.own = False
+    if forms:
+        weigh(elements, sizes)
+    sound = max((value(e) for e in elements if e.score and not e.noise and e.soft is None), default=0.0)
+    top, most = None, 0.0
+    for e in elements:
+        if e.noise or e.soft is None or not e.score or (worth := value(e)) <= most:
+            continue
+        around = list(wrappers(e))
+        readers = any(not READERS.isdisjoint(split(w.names)) for w in around)
+        if sound:
+            plain = e.tag in ("article", "main") and NOISE.isdisjoint(split(e.names))
+            plain = plain or e.soft is not e and all(any(WRAPS.fullmatch(n) for n in w.names.split()) for w in around)
+            if readers or worth <= sound * (1 if plain else OUTSCORE) or e.own:
+                continue
+        elif e.own and not e.inside:
+            continue
+        top, most = e, worth
+    if top is not None:
+        for w in list(wrappers(top)):
+            w.own = False
+        weigh(elements, sizes)
+    for e in elements:
+        e.noise = e.noise or e.soft is not None
+
+
 def parse(page: str) -> tuple[list[Element], list[tuple[Element, str, bool]]]:
     """Elements in page order, and blocks (innermost element, text, heading) outside boilerplate."""
     root = Element("html", "", None, False, 0)
-    elements, blocks, stack = [root], [], [root]
+    elements, blocks, sizes, stack = [root], [], [], [root]
     run: list[str] = []
     read: Element | None = None  # what was open when the text in ``run`` was read
+    soft: list[Element | None] = [None]
     linked = [0]
     links = 0
 
     def add(text: str) -> None:
         nonlocal read
+        if run and stack[-1].soft is not soft[0]:
+            flush()
+        soft[0] = stack[-1].soft
         run.append(text)
         if not text.isspace() and read is not stack[-1]:
             read = stack[-1] if read is None else shared(read, stack[-1])
@@ -171,28 +280,10 @@ def parse(page: str) -> tuple[list[Element], list[tuple[Element, str, bool]]]:
                 heading = any(e.tag in HEADINGS for e in above)
                 if heading or not any(e.tag == "header" for e in above):
                     blocks.append((holder, text, heading))
-                    share = min(linked[0], len(text))
-                    credit(holder, len(text), share, heading)
+                    sizes.append((holder, len(text), min(linked[0], len(text)), heading))
         read = None
         linked[0] = 0
 
-    def credit(holder: Element, size: int, share: int, heading: bool) -> None:
-        e: Element | None = holder
-        while e is not None:
-            e.text += size
-            e.links += share
-            e.headings += size if heading else 0
-            e = e.parent
-        if heading:
-            return
-        # A paragraph scores for what holds it; bare text scores for its own element.
-        at = holder.parent if holder.tag in ("p", "li", "pre", "dd", "dt", "blockquote", "td", "th") and holder.parent else holder
-        for part in (1, 2, 3):
-            if at is None:
-                break
-            at.score += (size - share) / part
-            at = at.parent
-
     def close(k: int) -> None:
         nonlocal links
         for e in stack[k:]:
@@ -261,12 +352,19 @@ def parse(page: str) -> tuple[list[Element], list[tuple[Element, str, bool]]]:
         parent = stack[-1]
         name = generalised(tag, attributes) if attributes else tag
         e = Element(tag, f"{parent.path}>{name}" if parent.path else name, parent, parent.noise or noisy(tag, attributes, parent.inside), len(elements))
+        if not e.noise and tag in WRAPPERS and (tag == "form" or attributes and marked(attributes)):
+            e.own, e.soft = True, e
+        e.names = names_of(attributes) if attributes else ""
         e.inside = parent.inside or tag in ("article", "main") or bool(attributes) and not CONTENT.isdisjoint(words_of(attributes))
         if len(stack) < DEPTH:
             elements.append(e)
             stack.append(e)
             links += tag == "a"
     flush()
+    weigh(elements, sizes)
+    if any(holder.soft for holder, *_ in sizes):
+        relieve(elements, sizes)
+        blocks = [b for b in blocks if b[0].soft is None]
     return elements, blocks
 
 

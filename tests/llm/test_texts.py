@@ -51,6 +51,46 @@ def test_text_before_inline_boilerplate_is_kept(page, text):
     assert html_text.extract(page, [])[0] == text
 
 
+STORY = "<p>A story of the page, told in sentences that are long enough.</p>" * 4
+AROUND = '<div id="top"><p>Site of the day</p></div>%s<div class="sidebar"><p>Side text</p></div>'
+
+
+@pytest.mark.parametrize(
+    "wrapper",
+    [
+        '<div class="content-sidebar-wrap"><div>%s</div></div>',
+        '<div class="sidebar-wrap"><article>%s</article></div>',
+        '<div class="site has-sidebar"><div>%s</div></div>',
+        '<div class="no-comments"><main>%s</main></div>',
+        '<div class="sidebar-layout"><div class="overlay"><div class="text">%s</div></div></div>',
+        '<form action="x"><input type="hidden" value="y"><div class="box">%s</div></form>',
+        '<form><div class="toolbar-page"><article>%s</article></div></form>',
+        '<table><tr><td class="widget"><div>%s</div></td><td class="nav">Menu</td></tr></table>',
+    ],
+)
+@pytest.mark.parametrize("around", ["%s", AROUND])
+def test_marked_wrapper_keeps_its_article(wrapper, around):
+    text = html_text.extract(f"<body>{around % (wrapper % STORY)}</body>", [])[0]
+    assert text.count("A story") == 4 and "Side text" not in text and "Menu" not in text
+
+
+@pytest.mark.parametrize(
+    "noise",
+    [
+        '<div id="comments"><ol><li><div>%s</div></li></ol></div>',
+        '<div class="no-print comments"><article class="comment">%s</article></div>',
+        '<div class="cookie-notice">We use cookies</div>',
+        '<form class="comment-form"><p>Say something</p></form>',
+        '<div class="related"><article class="post"><p>Read this too.</p></article></div>',
+    ],
+)
+def test_marked_blocks_beside_an_article_stay_out(noise):
+    noise = noise.replace("%s", "<p>What a reader says about it, at great length.</p>" * 30)
+    text = html_text.extract(f'<body><div class="text">{STORY}</div>{noise}</body>', [])[0]
+    assert text.split("\n") == ["A story of the page, told in sentences that are long enough."] * 4
+    assert html_text.extract('<div class="cookie-notice"><p>We use cookies</p></div>', [])[0] == ""
+
+
 def test_generalised_paths_ignore_numbers():
     assert html_text.vote(PAGE % 3) == html_text.vote(PAGE % 77) == "body.x>div.w.wrap>article.post"
 

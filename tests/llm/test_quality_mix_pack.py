@@ -87,6 +87,21 @@ def test_quality_models_on_given_tables(spark, sf):
     assert all(k for k, q in sound if q == 1)
 
 
+def test_stuttered_words_are_rejected_by_the_forest(spark):
+    rng = random.Random(2)
+
+    def words(n):
+        return ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+
+    clean = [(k, " ".join(words(rng.randint(16, 90)))) for k in range(200)]
+    stuttered = [(200 + k, " ".join(w for w in words(8) for _ in range(2 + k % 4))) for k in range(24)]
+    docs = spark.createDataFrame(clean + stuttered, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 200)) for k in range(0, 224, 2)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality_forest.judge(docs, labels).collect()}
+    assert not any(got[k].base_failed for k in got)
+    assert [k for k in got if got[k].kept != (k < 200)] == []
+
+
 def test_labels_of_the_held_out_fold_change_nothing(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     labels = spark.read.parquet(f"{sf}/labels.parquet")

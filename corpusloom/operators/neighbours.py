@@ -58,7 +58,10 @@ def near_duplicate_chunks(chunks: DataFrame, options: Options = DEFAULTS) -> Dat
 
 
 def class_members(chunks: DataFrame) -> DataFrame:
-    """tenant_id, chunk_id, representative: which class each chunk belongs to."""
+    """tenant_id, chunk_id, representative, members: which class each chunk belongs to, and its size.
+
+    With the pairs of ``near_duplicate_chunks`` this gives every pair of chunks, exact copies included.
+    """
     key = F.sha2(F.array_join(F.array_sort(F.array_distinct("tokens")), "\n"), 256)
     keyed = chunks.filter("size(tokens) > 0").select("tenant_id", "chunk_id", key.alias("set_key"))
-    return keyed.join(term_classes(chunks).select("tenant_id", "set_key", "representative"), ["tenant_id", "set_key"]).drop("set_key")
+    return keyed.join(term_classes(chunks).select("tenant_id", "set_key", "representative", "members"), ["tenant_id", "set_key"]).drop("set_key")

@@ -197,6 +197,12 @@ def near_duplicate_chunks(spark, d):
     return neighbours.near_duplicate_chunks(r.store(spark, d).chunks.select("tenant_id", "chunk_id", "tokens"))
 
 
+@query
+def class_members(spark, d):
+    """The class of every chunk, whose representatives ``near_duplicate_chunks`` pairs."""
+    return neighbours.class_members(r.store(spark, d).chunks.select("tenant_id", "chunk_id", "tokens"))
+
+
 def _selected(spark, d):
     return r.hybrid_retrieve(r.store(spark, d), w.questions(spark, d))
 

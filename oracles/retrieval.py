@@ -25,6 +25,10 @@ SELECT tenant_id, left_id, right_id, round(similarity, 6) AS similarity FROM (
   SELECT a.tenant_id, a.id AS left_id, b.id AS right_id, len(list_intersect(a.terms, b.terms)) AS m, m::double / (a.n + b.n - m) AS similarity
   FROM term_sets a JOIN term_sets b ON a.tenant_id = b.tenant_id AND a.id < b.id AND least(a.n, b.n) >= 0.9 * greatest(a.n, b.n) - 1e-9)
 WHERE similarity >= 0.9"""
+SQL["class_members"] = """
+SELECT tenant_id, chunk_id, min(chunk_id) OVER w AS representative, count(*) OVER w AS members
+FROM (SELECT tenant_id, chunk_id, list_sort(list_distinct(toks)) AS terms FROM toks WHERE len(toks) > 0)
+WINDOW w AS (PARTITION BY tenant_id, terms)"""
 CTES["lens"] = "SELECT chunk_id, tenant_id, len(toks) AS doc_len FROM toks WHERE len(toks) > 0"
 CTES["totals"] = "SELECT tenant_id, count(*) AS n, avg(doc_len) AS avg_len FROM lens GROUP BY ALL"
 CTES["dfreq"] = "SELECT tenant_id, term, count(*) AS df FROM postings GROUP BY ALL"

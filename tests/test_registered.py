@@ -33,6 +33,12 @@ def test_matches_sql(spark, sf, con, name):
     assert got == rows(cur.fetchall(), names)
 
 
+def test_every_copy_has_its_class(spark, sf, con):
+    test_matches_sql(spark, sf, con, "class_members")
+    got = entry.queries()["class_members"](spark, sf)
+    assert got.columns == ["tenant_id", "chunk_id", "representative", "members"]
+
+
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
 

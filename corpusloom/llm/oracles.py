@@ -67,4 +67,102 @@ SELECT page_id, payload_bytes, {_LETTERS} AS payload_digest,
 FROM h
 """
 
-ORACLES = {"op3_preference_format": OP3, "op6_impact_search": OP6, "op10_warc_revisits": OP10}
+
+def _crc32(text: str) -> str:
+    """Checksum of a short ASCII text, bit by bit."""
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i, 1))::ubigint)"
+    shifted = "list_reduce(list_prepend(xor(c, b), range(8)::ubigint[]), lambda x, k: xor(x >> 1, 3988292384::ubigint * (x & 1)))"
+    return f"xor(4294967295::ubigint, list_reduce(list_prepend(4294967295::ubigint, {codes}), lambda c, b: {shifted}))"
+
+
+OP12 = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, sha256(strlen(role)::varchar || ':' || role || text)) AS turns,
+    ({_crc32("conv_id::varchar")} % 6)::bigint AS h
+  FROM t GROUP BY conv_id
+), grown AS (
+  SELECT o.conv_id, list_concat(coalesce(b.turns[1:o.h], []), o.turns[o.h + 1:]) AS turns
+  FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 100
+), prefixes AS (
+  SELECT conv_id, d, turns[1:d] AS prefix, len(turns) = d AS ends
+  FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM grown)
+), node AS (
+  SELECT prefix, d, min(conv_id) AS conv, count(*) AS n,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends
+  FROM prefixes GROUP BY prefix, d
+), child AS (
+  SELECT prefix[1:d - 1] AS prefix, count(*) AS children FROM node WHERE d > 0 GROUP BY 1
+), valued AS (
+  SELECT n.*, coalesce(c.children, 0) AS children,
+    CASE WHEN n.d > 0 THEN (n.n - 1) * length(n.prefix[n.d].text) ELSE 0 END AS saved
+  FROM node n LEFT JOIN child c ON c.prefix = n.prefix
+), under AS (
+  SELECT prefix[1:up] AS prefix, sum(saved)::bigint AS saved, sum((children = 0)::int)::bigint AS leaves
+  FROM (SELECT prefix, saved, children, unnest(range(0, d + 1)) AS up FROM valued) GROUP BY 1
+)
+SELECT v.conv AS conv_id, v.d AS depth, p.conv AS parent_conv_id, v.n AS n_convs, v.children AS n_children,
+  u.leaves AS n_leaves, u.saved AS saved_tokens, v.ends AS ends_sha256
+FROM valued v JOIN under u ON u.prefix = v.prefix LEFT JOIN node p ON v.d > 0 AND p.prefix = v.prefix[1:v.d - 1]
+"""
+
+
+def _leaf(*columns: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}::varchar)::varchar || ':' || {c}::varchar, '-')" for c in columns) + ")"
+
+
+def _levels(name: str, start: str) -> str:
+    """All nodes above ``start`` (grp, level, pos, n, h), and each node's siblings to the left and right."""
+    return f"""{name} AS (
+  SELECT grp, 0::bigint AS level, pos, n, h FROM {start}
+  UNION ALL
+  SELECT grp, level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM {name} WHERE n > 1 GROUP BY grp, level, pos // 3, n
+), {name}_sides AS (
+  SELECT grp, level, pos, coalesce(string_agg(h, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(h, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM {name} WHERE n > 1 WINDOW run AS (PARTITION BY grp, level, pos // 3 ORDER BY pos)
+)"""
+
+
+def _folded(name: str, start: str, sides: str) -> str:
+    """Rows of ``start`` (grp, row, at, h, proof) taken level by level to the top of their group."""
+    return f"""{name} AS (
+  SELECT *, 0::bigint AS level FROM {start}
+  UNION ALL
+  SELECT f.grp, f.row, f.at // 3, sha256(s.l || f.h || s.r), f.proof || s.l || s.r, f.level + 1
+  FROM {name} f JOIN {sides} s ON s.grp = f.grp AND s.level = f.level AND s.pos = f.at
+), {name}_top AS (SELECT * FROM {name} QUALIFY row_number() OVER (PARTITION BY grp, row ORDER BY level DESC) = 1)"""
+
+
+OP13 = f"""
+WITH RECURSIVE leaf AS (
+  SELECT doc_id, coalesce('=' || source, '') AS grp, {_leaf("doc_id", "source", "lang", "n_chars", "text")} AS leaf,
+    {_leaf("doc_id", "source", "lang", "n_chars", "bare")} AS presented
+  FROM (SELECT *, CASE WHEN {_crc32("doc_id::varchar")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS bare FROM documents)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS n FROM leaf
+), bottom AS (SELECT grp, pos, n, leaf AS h FROM placed),
+{_levels("node", "bottom")},
+subroot AS (
+  SELECT '' AS grp, grp AS member, h, row_number() OVER (ORDER BY grp) - 1 AS pos, count(*) OVER () AS n FROM node WHERE n = 1
+),
+{_levels("top", "subroot")},
+presented AS (SELECT grp, pos AS row, pos AS at, presented AS h, '' AS proof FROM placed),
+{_folded("inner_fold", "presented", "node_sides")},
+lifted AS (
+  SELECT '' AS grp, f.grp || ' ' || f.row AS row, s.pos AS at, f.h, f.proof FROM inner_fold_top f JOIN subroot s ON s.member = f.grp
+),
+{_folded("outer_fold", "lifted", "top_sides")}
+SELECT p.doc_id, p.leaf, s.h AS subroot, t.h AS root, sha256(f.proof) AS proof_sha256, f.h AS folded_root, f.h = t.h AS verified
+FROM placed p JOIN subroot s ON s.member = p.grp JOIN (SELECT h FROM top WHERE n = 1) t ON true
+  JOIN outer_fold_top f ON f.row = p.grp || ' ' || p.pos
+"""
+
+ORACLES = {
+    "op3_preference_format": OP3,
+    "op6_impact_search": OP6,
+    "op10_warc_revisits": OP10,
+    "op12_prefix_trie": OP12,
+    "op13_merkle_manifest": OP13,
+}

@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 from corpusloom.llm import (
     html_text,
     impact_search,
+    merkle,
     mixing,
     near_duplicates,
     packing,
     preferences,
+    prefix_trie,
     pu_quality,
     quality_forest,
     textstats,
     trie_counts,
+    url_rules,
     warc,
 )
 from corpusloom.llm.common import table
@@ -83,6 +86,29 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
+#: The stated rules of the URL query.
+STATED = [
+    url_rules.Stated("allow", "com", "/"),
+    url_rules.Stated("block", "example.com", "/en/"),
+    url_rules.Stated("allow", "www.example.com", "/en/"),
+    url_rules.Stated("block", "net", "/es/"),
+    url_rules.Stated("block", "net", "/fr/"),
+]
+
+
+def op11_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.filtered(table(spark, sf_dir, "pages", "page_id", "url"), STATED)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return prefix_trie.trie(prefix_trie.regrown(prefix_trie.gathered(turns)))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified_rows(table(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -96,5 +122,8 @@ QUERIES: dict[str, Query] = {
         op8_best_fit_packing,
         op9_pu_quality,
         op10_warc_revisits,
+        op11_url_rules,
+        op12_prefix_trie,
+        op13_merkle_manifest,
     )
 }

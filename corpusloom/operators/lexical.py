@@ -1,8 +1,8 @@
 """BM25 over an inverted index: postings, statistics, search.
 
-Postings keep ``document_id``. Stored in buckets of (tenant, document), they are joined,
-summed by chunk and cut to the best of each bucket where they lie; a search moves its
-own terms and the cut rows, never a posting.
+A stored index keeps its postings in blocks (``blockmax``), where a search reads only spans that can
+matter and moves its own terms and the cut rows, never a posting. Flat postings, such as a stream's
+deltas fold to, are joined and summed by chunk.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.config import DEFAULTS, Options
 from corpusloom.functions import text as T
-from corpusloom.session import bucketed, written
+from corpusloom.operators import blockmax
+from corpusloom.session import written
 
 CHUNK = ["tenant_id", "document_id", "chunk_id"]
 TQ = ["tenant_id", "query_id"]
@@ -35,11 +36,12 @@ def query_terms(questions: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    """Postings (term, chunk, tf, doc_len), document frequencies, and totals per tenant."""
+    """Postings (term, chunk, tf, doc_len), document frequencies, and totals per tenant; blocks if stored."""
 
     postings: DataFrame
     frequencies: DataFrame
     totals: DataFrame
+    blocks: blockmax.Blocks | None = None
 
 
 def bm25_postings(tokens: DataFrame) -> DataFrame:
@@ -57,9 +59,9 @@ def inverted_index(tokens: DataFrame) -> Index:
 
 
 def stored_index(tokens: DataFrame) -> Index:
-    """The index written to the shared folder, postings in buckets of (tenant, document)."""
-    postings = bucketed(bm25_postings(tokens), "tenant_id", "document_id")
-    return Index(postings, written(document_frequency(postings)), written(corpus_totals(tokens)))
+    """The index written to the shared folder, postings in blocks."""
+    blocks = blockmax.stored_blocks(tokens)
+    return Index(blocks.postings(), written(blockmax.document_frequency(blocks)), written(corpus_totals(tokens)), blocks)
 
 
 def corpus_totals(tokens: DataFrame) -> DataFrame:
@@ -73,20 +75,29 @@ def document_frequency(postings: DataFrame) -> DataFrame:
     return postings.groupBy("tenant_id", "term").agg(F.count("*").alias("df"))
 
 
+def term_parts(options: Options = DEFAULTS) -> tuple[Column, float, Column]:
+    """Rarity of a term, and what a chunk weighs its count against: a constant and a factor of its length."""
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return idf, options.k1 * (1 - options.b), options.k1 * options.b / F.col("avg_len")
+
+
 def term_weight(options: Options = DEFAULTS) -> Column:
     """Contribution of one term to one chunk."""
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = 1 - options.b + options.b * (F.col("doc_len") / F.col("avg_len"))
-    return idf * (F.col("tf") * (options.k1 + 1) / (F.col("tf") + options.k1 * norm))
+    idf, flat, slope = term_parts(options)
+    return idf * (F.col("tf") * (options.k1 + 1) / (F.col("tf") + flat + slope * F.col("doc_len")))
 
 
 def bm25_scores(index: Index, terms: DataFrame, options: Options = DEFAULTS) -> DataFrame:
-    """Score of every chunk that shares a term with a question.
+    """Score of every chunk that can be among a question's best.
 
     The terms asked for, with their frequencies, are written once, so the planner knows
     their size when it chooses how they meet the postings.
     """
     asked = written(terms.join(index.frequencies, ["tenant_id", "term"]).join(index.totals, "tenant_id"))
+    if index.blocks is not None:
+        idf, flat, slope = term_parts(options)
+        parts = (((options.k1 + 1) * idf).alias("gain"), F.lit(flat).alias("flat"), slope.alias("slope"))
+        return blockmax.best_chunks(index.blocks, asked.select(*TQ, "term", *parts), options)
     return (
         index.postings.join(asked, ["tenant_id", "term"])
         .select("tenant_id", "document_id", "chunk_id", "query_id", term_weight(options).alias("weight"))
@@ -117,6 +128,8 @@ def lexical_score(hits: DataFrame) -> DataFrame:
 
 def contains_any_token(index: Index, wanted: DataFrame) -> DataFrame:
     """Chunks with at least one of the wanted (tenant, term)."""
+    if index.blocks is not None:
+        return blockmax.chunks_with(index.blocks, wanted)
     return index.postings.join(wanted, ["tenant_id", "term"], "left_semi").select(*CHUNK).distinct()
 
 

@@ -133,14 +133,24 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, *keys: str) -> DataFrame:
+def bucketed(
+    df: DataFrame, *keys: str, partition: str | None = None, sort: tuple[str, ...] = (), placed: bool = False
+) -> DataFrame:
     """Store a table in the shared folder in buckets of ``keys``; reading it keeps that placement.
 
-    As many buckets as the session has shuffle partitions.
+    As many buckets as the session has shuffle partitions. ``partition`` deals the rows to folders that
+    a filter on it can skip; each bucket's rows are sorted by ``sort``. ``placed`` rows have been
+    repartitioned so before and are written where they are.
     """
     spark = df.sparkSession
     name = f"corpusloom_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark).rstrip('/')}/tables/{name}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(buckets, *keys).write.option("path", path).bucketBy(buckets, *keys).saveAsTable(name)
+    rows = df if placed else df.repartition(buckets, *keys)
+    writer = rows.write.option("path", path).bucketBy(buckets, *keys)
+    if sort:
+        writer = writer.sortBy(*sort)
+    if partition:
+        writer = writer.partitionBy(partition)
+    writer.saveAsTable(name)
     return spark.table(name)

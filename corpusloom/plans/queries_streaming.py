@@ -55,32 +55,50 @@ def _closed(spark, d, shape):
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def _ingested(spark, d):
-    folder = _folder(spark)
-    files = _stream(spark, d, "documents").select(
+def _files(docs):
+    return docs.select(
         "doc_id",
         F.col("source").alias("tenant_id"),
         F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".md")).alias("filename"),
         "text",
     )
 
-    def index(docs):
-        chunks = ing.prepare_chunks(w.pages_of(docs), None)
-        return T.with_tokens(chunks.drop("body"), "text")
 
-    jobs.per_batch(files, jobs.ingest_batch(folder, index), f"{folder}/state").awaitTermination()
-    schema = T.with_tokens(ing.indexed_chunks(spark, d).drop("body"), "text").schema
-    return jobs.current_chunks(spark, folder, schema)
+def _index(docs):
+    return T.with_tokens(ing.prepare_chunks(w.pages_of(docs), None).drop("body"), "text")
 
 
 @query
 def stream_ingest(spark, d):
-    return _ingested(spark, d).select("chunk_id", "tenant_id", "document_id", "chunk", T.sha_hex(F.col("text")).alias("text_hash"))
+    folder = _folder(spark)
+    run = jobs.ingest_batch(folder, _index)
+    jobs.per_batch(_files(_stream(spark, d, "documents")), run, f"{folder}/state").awaitTermination()
+    schema = T.with_tokens(ing.indexed_chunks(spark, d).drop("body"), "text").schema
+    out = jobs.current_chunks(spark, folder, schema)
+    return out.select("chunk_id", "tenant_id", "document_id", "chunk", T.sha_hex(F.col("text")).alias("text_hash"))
+
+
+def _refreshed(spark, d):
+    """The index after three micro-batches, with a compaction between: two halves, then every document again."""
+    folder, raw = _folder(spark), w.table(spark, d, "documents")
+    half = F.pmod(F.xxhash64("text"), F.lit(2))
+    raw.limit(0).write.parquet(f"{folder}/in/none")
+    feed = spark.readStream.schema(raw.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+    run = jobs.ingest_batch(folder, _index, compact_every=2)
+    for i, part in enumerate((raw.where(half == 0), raw.where((half == 1) | half.isNull()), raw)):
+        part.write.parquet(f"{folder}/in/{i}")
+        jobs.per_batch(_files(feed), run, f"{folder}/state").awaitTermination()
+    return jobs.lexical_index(spark, folder).index()
 
 
 @query
 def stream_index_refresh(spark, d):
-    return jobs.index_totals(_ingested(spark, d)).withColumn("avg_len", F.round("avg_len", 6))
+    return _refreshed(spark, d).totals.withColumn("avg_len", F.round("avg_len", 6))
+
+
+@query
+def stream_index_frequencies(spark, d):
+    return _refreshed(spark, d).frequencies.select("tenant_id", "term", "df")
 
 
 @query

@@ -112,6 +112,12 @@ def recorded_tables() -> Iterator[list[str]]:
         _RECORDERS.pop()
 
 
+def exists(spark: SparkSession, name: str) -> bool:
+    """Whether a path is there, in whatever store Spark reads it from."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def drop_tables(spark: SparkSession, paths: list[str]) -> None:
     """Delete stored tables that nothing reads any more."""
     for name in paths:

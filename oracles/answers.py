@@ -141,6 +141,35 @@ SELECT *, sum(CASE WHEN prev IS NULL OR ts >= prev + INTERVAL 20 MINUTE THEN 1 E
 CTES["sess"] = "SELECT user_id, min(ts) AS a, max(ts) AS b, count(*) AS events FROM gaps GROUP BY user_id, s"
 _ms = lambda c: f"epoch_us({c})"
 SQL["sessions_batch"] = f"SELECT user_id, {_ms('a')} AS start_us, {_ms('b')} AS last_us, events FROM sess"
+SQL["stream_answers_early"] = """
+SELECT * FROM (WITH told AS (
+  SELECT *, concat(cast(user_id AS varchar), '-', strftime(ts, '%Y%m%d')) AS request_id FROM events
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY ts, event_id) AS pos FROM told
+), cut AS (
+  SELECT request_id, min(pos) FILTER (event_type IN ('purchase', 'error')) AS stop FROM placed GROUP BY request_id
+)
+SELECT request_id, coalesce(trim(string_agg(' ' || cast(event_id AS varchar), '' ORDER BY event_id) FILTER (event_type IN ('view', 'click'))), '') AS answer,
+  CASE max(CASE WHEN pos = stop THEN event_type END) WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed' ELSE 'cancelled' END AS status, count(*) AS events
+FROM placed JOIN cut USING (request_id) WHERE pos <= coalesce(stop, pos) GROUP BY request_id)"""
+# A request takes its slot if it is the first since the last completion, or six hours after the one that holds it.
+SQL["stream_admitted_uploads"] = """
+SELECT * FROM (WITH RECURSIVE moves AS (
+  SELECT concat('src', cast(user_id % 20 AS varchar)) AS tenant_id, json_extract_string(props, '$.k') AS document_id, ts, event_id AS seq, event_type
+  FROM events WHERE event_type IN ('purchase', 'signup')
+), rounds AS (
+  SELECT *, sum((event_type = 'signup')::int) OVER (PARTITION BY tenant_id, document_id ORDER BY ts, seq) AS round FROM moves
+), asks AS (
+  SELECT *, row_number() OVER (PARTITION BY tenant_id, document_id, round ORDER BY ts, seq) AS n FROM rounds WHERE event_type = 'purchase'
+), taken AS (
+  SELECT * FROM asks WHERE n = 1
+  UNION ALL
+  SELECT * FROM (
+    SELECT a.* FROM taken t JOIN asks a ON a.tenant_id = t.tenant_id AND a.document_id = t.document_id AND a.round = t.round
+      AND a.ts >= t.ts + INTERVAL 6 HOUR
+    QUALIFY row_number() OVER (PARTITION BY t.tenant_id, t.document_id, t.round, t.seq ORDER BY a.ts, a.seq) = 1)
+)
+SELECT tenant_id, document_id, seq FROM taken)"""
 SQL["stream_sessions"] = f"SELECT user_id, {_ms('a')} AS start_us, {_ms('b')} AS last_us, events FROM sess"
 SQL["stream_stage_metrics"] = """
 SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, stage, count(*) AS n, round(sum(v), 6) AS seconds, round(max(v), 6) AS slowest

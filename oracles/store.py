@@ -79,3 +79,6 @@ SQL["stream_ingest"] = """
 SELECT chunk_id, tenant_id, document_id, chunk, sha256(plain) AS text_hash FROM plain_text SEMI JOIN taken USING (tenant_id, document_id)"""
 SQL["stream_index_refresh"] = f"""
 SELECT tenant_id, count(*) AS n, round(avg(len({tokens('plain')})), 6) AS avg_len FROM plain_text SEMI JOIN taken USING (tenant_id, document_id) GROUP BY ALL"""
+SQL["stream_index_frequencies"] = f"""
+SELECT tenant_id, term, count(*) AS df FROM (
+  SELECT tenant_id, unnest(list_distinct({tokens('plain')})) AS term FROM plain_text SEMI JOIN taken USING (tenant_id, document_id)) GROUP BY ALL"""

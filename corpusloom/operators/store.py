@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.config import DEFAULTS, Options
@@ -15,7 +15,12 @@ DOC = ["tenant_id", "document_id"]
 
 def upsert_chunks(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """Incoming rows replace stored ones of the same id; a row whose id names another
-    tenant, or whose vector is of another model than the tenant's stored ones, fails the job."""
+    tenant, or whose vector is of another model than the tenant's stored ones, fails the job.
+
+    Of rows that repeat an id within a delivery one is kept, the same in every run.
+    """
+    one = Window.partitionBy(*ID).orderBy(F.xxhash64(*(F.to_json(F.struct(c)) for c in sorted(incoming.columns))))
+    incoming = incoming.withColumn("_one", F.row_number().over(one)).where("_one = 1").drop("_one")
     own = F.col("chunk_id").startswith(F.concat("tenant_id", F.lit(":")))
     checked = incoming.withColumn(
         "tenant_id",
@@ -61,11 +66,17 @@ def apply_status_updates(stored: DataFrame, updates: DataFrame) -> DataFrame:
         F.when(F.col("status").isin(*P.STATUS_LABELS), F.col("status"))
         .otherwise(F.raise_error(F.lit("invalid status")))
         .alias("_status"),
-        "validated_by",
-        "validated_at",
+        F.col("validated_by").alias("_by"),
+        F.col("validated_at").alias("_at"),
     )
     confirmed = F.col("_status") != P.STATUS_UNVERIFIED
     changed = F.col("_status").isNotNull()
+
+    def decided(name: str, new: Column) -> Column:
+        """A document without a new decision keeps its earlier one."""
+        before = F.col(name) if name in stored.columns else F.lit(None).cast("string")
+        return F.when(changed, F.when(confirmed, new)).otherwise(before)
+
     line = F.concat(F.lit("Status informado: "), T.status_label(F.col("_status")))
     rewritten = F.regexp_replace(F.col("text"), F.lit(r"(?md)^Status informado:.*$"), line)
     return (
@@ -73,13 +84,13 @@ def apply_status_updates(stored: DataFrame, updates: DataFrame) -> DataFrame:
         .withColumns(
             {
                 "text": F.when(changed, rewritten).otherwise(F.col("text")),
-                "validated_by": F.when(changed & confirmed, F.col("validated_by")),
-                "validated_at": F.when(changed & confirmed, F.col("validated_at")),
-                "validation_method": F.when(changed & confirmed, "confirmacao_manual_na_aplicacao"),
+                "validated_by": decided("validated_by", F.col("_by")),
+                "validated_at": decided("validated_at", F.col("_at")),
+                "validation_method": decided("validation_method", F.lit("confirmacao_manual_na_aplicacao")),
                 "status": F.coalesce("_status", "status"),
             }
         )
-        .drop("_status")
+        .drop("_status", "_by", "_at")
     )
 
 

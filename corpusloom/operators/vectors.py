@@ -248,6 +248,11 @@ def cosine_topk(
     return local.withColumn("vector_rank", F.row_number().over(w)).filter(F.col("vector_rank") <= n)
 
 
+def cell_of(tenant: str, number: str) -> Column:
+    """A search group: the number of a cell within a tenant."""
+    return F.concat_ws("#", number, tenant)
+
+
 def ann_topk(
     chunks: DataFrame,
     queries: DataFrame,
@@ -270,7 +275,7 @@ def ann_topk(
 
     model = KMeans(k=cells, seed=seed, maxIter=5, featuresCol="_v", predictionCol="_cell").fit(vectors(chunks))
     placed = model.transform(vectors(chunks)).select(
-        F.concat_ws("#", "tenant_id", "_cell").alias("cell"), "chunk_id", "embedding"
+        cell_of("tenant_id", "_cell").alias("cell"), "chunk_id", "embedding"
     )
     centers = [c.tolist() for c in model.clusterCenters()]  # `cells` rows, fixed
     distances = F.array(
@@ -293,10 +298,9 @@ def ann_topk(
     near = F.slice(F.sort_array(distances), 1, probes)
     probing = queries.select(
         "tenant_id", "query_id", "embedding", F.explode(F.transform(near, lambda s: s["i"])).alias("_cell")
-    ).select(F.concat_ws("#", "tenant_id", "_cell").alias("cell"), "query_id", "embedding")
-    local = local_topk(placed, probing, k, "cell").withColumn(
-        "tenant_id", F.substring_index("cell", "#", 1)
-    )
+    ).select(cell_of("tenant_id", "_cell").alias("cell"), "query_id", "embedding")
+    # The number stands first and holds no mark, so a tenant may hold any.
+    local = local_topk(placed, probing, k, "cell").withColumn("tenant_id", F.expr("substring(cell, locate('#', cell) + 1)"))
     w = Window.partitionBy("tenant_id", "query_id").orderBy(F.col("score").desc(), "chunk_id")
     return (
         local.withColumn("vector_rank", F.row_number().over(w))

@@ -14,7 +14,8 @@ from corpusloom.plans import retrieval as r
 from corpusloom.plans import workload as w
 from corpusloom.plans.registry import query
 from corpusloom.session import shared_dir
-from corpusloom.sources import files, sinks
+from corpusloom.sources import files, sinks, stores
+from corpusloom.sources.versioned import VersionedTable
 
 
 def _chunks(spark, d):
@@ -105,6 +106,52 @@ def upload_admission(spark, d):
     return out.select("tenant_id", "filename", "size_bytes", "stored_bytes", "admitted")
 
 
+# ------------------------------------------------------------------ stores in versions
+
+
+def _stored(spark, rows):
+    """A versioned table that holds ``rows``."""
+    table = VersionedTable(spark, f"{shared_dir(spark).rstrip('/')}/stores/{uuid.uuid4().hex}", rows.schema)
+    table.replace(rows, stores.parts_of(rows))
+    return table
+
+
+def _chunk_columns(spark, d):
+    return _chunks(spark, d).drop("embedding", "tokens", "body")
+
+
+@query
+def vector_store_upsert(spark, d):
+    kept = stores.VectorStore(_stored(spark, _chunk_columns(spark, d)))
+    kept.upsert(_incoming(spark, d).drop("embedding", "tokens", "body"))
+    return kept.table.read().select("chunk_id", "tenant_id", T.sha_hex(F.col("text")).alias("text_hash"))
+
+
+@query
+def vector_store_delete(spark, d):
+    kept = stores.VectorStore(_stored(spark, _chunk_columns(spark, d)))
+    kept.delete_documents(w.deleted_documents(spark, d))
+    return kept.table.read().select("chunk_id", "tenant_id", "document_id")
+
+
+@query
+def vector_store_before_delete(spark, d):
+    """The version before a deletion, read after it: nothing is missing."""
+    kept = stores.VectorStore(_stored(spark, _chunk_columns(spark, d)))
+    kept.delete_documents(w.deleted_documents(spark, d))
+    return kept.table.read(version=0).select("chunk_id", "tenant_id", "document_id")
+
+
+@query
+def graph_store_sync(spark, d):
+    again = w.deleted_documents(spark, d).select("tenant_id", "document_id")
+    meta = ing.metadata(spark, d).join(again, ["tenant_id", "document_id"], "left_semi")
+    fresh = graph.edge_status(graph.edge_dedup(graph.with_entities(graph.edges_from_metadata(meta))))
+    kept = stores.GraphStore(_stored(spark, r.store(spark, d).edges))
+    kept.sync_documents(fresh, again)
+    return kept.table.read().select("edge_id", "tenant_id", "document_id", "relation", "source_span")
+
+
 # ------------------------------------------------------------------ graph maintenance
 
 

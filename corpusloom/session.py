@@ -118,6 +118,13 @@ def exists(spark: SparkSession, name: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
+def folders(spark: SparkSession, name: str) -> list[str]:
+    """Names of what lies in a folder; none if it is not there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in system.listStatus(path) if f.isDirectory()) if system.exists(path) else []
+
+
 def drop_tables(spark: SparkSession, paths: list[str]) -> None:
     """Delete stored tables that nothing reads any more."""
     for name in paths:

@@ -82,3 +82,8 @@ SELECT tenant_id, count(*) AS n, round(avg(len({tokens('plain')})), 6) AS avg_le
 SQL["stream_index_frequencies"] = f"""
 SELECT tenant_id, term, count(*) AS df FROM (
   SELECT tenant_id, unnest(list_distinct({tokens('plain')})) AS term FROM plain_text SEMI JOIN taken USING (tenant_id, document_id)) GROUP BY ALL"""
+# Stores in versions hold what the operators give.
+SQL["vector_store_upsert"] = SQL["upsert_chunks"]
+SQL["vector_store_delete"] = SQL["delete_documents"]
+SQL["vector_store_before_delete"] = "SELECT chunk_id, tenant_id, document_id FROM chunks_full"
+SQL["graph_store_sync"] = SQL["graph_sync"]

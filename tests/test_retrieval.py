@@ -306,3 +306,15 @@ def test_near_duplicate_chunks_against_all_pairs(spark):
     assert got == want and len(want) > 3
     members = {x["chunk_id"]: x["representative"] for x in neighbours.class_members(df).collect()}
     assert members == {c: classes[t, frozenset(s)] for t, c, s in rows if s}
+
+
+def test_cells_keep_tenants_with_any_name(spark):
+    rng = np.random.default_rng(3)
+    names = ["a#b", "a", "#", "3#a"]
+    rows = [(t, f"{t}:{i}", [float(x) for x in rng.normal(size=4)]) for t in names for i in range(30)]
+    stored = spark.createDataFrame(rows, "tenant_id string, chunk_id string, embedding array<float>")
+    asked = spark.createDataFrame([(t, 1, rows[0][2]) for t in names], "tenant_id string, query_id long, embedding array<float>")
+    got = vectors.ann_topk(stored, asked, 3, cells=4, probes=4).collect()
+    assert {r["tenant_id"] for r in got} == set(names) and len(got) == 12
+    exact = vectors.cosine_topk(stored, asked, k=3).collect()
+    assert {(r["tenant_id"], r["chunk_id"]) for r in got} == {(r["tenant_id"], r["chunk_id"]) for r in exact}

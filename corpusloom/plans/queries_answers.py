@@ -219,3 +219,14 @@ def parse_json_logs(spark, d):
         ).alias("value")
     )
     return parse(lines).select("ts", "level", "msg", "request_id", "tenant_id", "duration_ms")
+
+
+@query
+def parse_log_variants(spark, d):
+    """Log lines with a field that no column names, read by path from the line's VARIANT."""
+    from corpusloom.sources.files import parse_log_variants as parse
+
+    extra = F.struct(F.array(F.lit("a"), F.col("event_id").cast("string")).alias("path"))
+    line = F.struct(F.col("action").alias("msg"), "tenant_id", F.floor("duration_ms").alias("duration_ms"), extra.alias("extra"))
+    out = parse(_audit(spark, d).select(F.to_json(line).alias("value")))
+    return out.select("msg", "tenant_id", "duration_ms", F.variant_get("fields", "$.extra.path[1]", "string").alias("event"))

@@ -133,6 +133,9 @@ SELECT event_id, request_id, action FROM log l WHERE action LIKE '%.requested' A
 SQL["parse_json_logs"] = """
 SELECT strftime(created_at, '%Y-%m-%dT%H:%M:%S') AS ts, 'INFO' AS level, action AS msg, request_id, tenant_id, cast(floor(duration_ms) AS bigint) AS duration_ms FROM log"""
 
+SQL["parse_log_variants"] = """
+SELECT action AS msg, tenant_id, cast(floor(duration_ms) AS bigint) AS duration_ms, cast(event_id AS varchar) AS event FROM log"""
+
 # ------------------------------------------------------------------ streams
 
 CTES["gaps"] = """

@@ -143,10 +143,10 @@ def _over_batches(spark, d, shape, parts=3):
     """
     folder, raw = _folder(spark), w.table(spark, d, "events")
     raw.limit(0).write.parquet(f"{folder}/in/none")
-    ends = raw.agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
-    at = F.least(F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("a").cast("timestamp"))) * parts
-                         / (F.unix_micros(F.col("b").cast("timestamp")) - F.unix_micros(F.col("a").cast("timestamp")))), F.lit(parts - 1))
-    staged = raw.join(F.broadcast(ends)).withColumn("_part", at).drop("a", "b")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    first = raw.agg(F.min(micros)).scalar()
+    span = raw.agg(F.max(micros) - F.min(micros)).scalar()
+    staged = raw.withColumn("_part", F.least(F.floor((micros - first) * parts / span), F.lit(parts - 1)))
     last = raw.orderBy(F.desc("ts")).limit(1).withColumn("ts", F.expr("ts + INTERVAL 60 DAYS"))
     feeds = [staged.where(F.col("_part") == i).drop("_part") for i in range(parts)] + [last]
     stream = shape(w.timed(spark.readStream.schema(raw.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/in")))

@@ -22,7 +22,6 @@ rows. Other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import prepare, telemetry
+from corpusloom.operators import telemetry
 from corpusloom.plans import ingestion as ing
 from corpusloom.plans import retrieval as r
 from corpusloom.plans import workload as w

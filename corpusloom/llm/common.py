@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.session import apply_runtime_conf
+from corpusloom.session import apply_runtime_conf, written
 
 #: Rows of an Arrow batch, so that a batch of long texts stays small beside a worker's memory.
 BATCH_ROWS = 500
 
+#: Most bytes of a bitmap that is sent to all tasks.
+BITMAP_BYTES = 64_000_000
+
 #: A word: no space, tab, line feed, vertical tab, form feed or carriage return.
 WHITE_RUN = r"[\x20\x09-\x0D]+"
 
@@ -42,16 +42,40 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-@contextmanager
-def bloom_filtered_joins(spark: SparkSession) -> Iterator[None]:
-    """Joins planned inside drop rows that a Bloom filter of the smaller, filtered side rules out, before any shuffle.
+def _bitmaps(keys: DataFrame, place: Column) -> DataFrame | None:
+    """marked_block, marked_bits: the places in blocks of 32,768; None if all blocks exceed ``BITMAP_BYTES``."""
+    placed = keys.select(F.shiftright(place, 15).alias("marked_block"), place.bitwiseAND(32767).alias("bit"))
+    found = written(placed.repartition("marked_block").groupBy("marked_block").agg(F.bitmap_construct_agg("bit").alias("marked_bits")))
+    return found if found.count() * 4096 <= BITMAP_BYTES else None
+
+
+def _marked(rows: DataFrame, place: Column, bitmaps: DataFrame) -> DataFrame:
+    """Rows whose place is marked. No row is moved."""
+    bit = place.bitwiseAND(32767)
+    byte = F.substring("marked_bits", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))
+    marked = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), bit.bitwiseAND(7).cast("int")) == 1
+    return rows.join(F.broadcast(bitmaps), F.shiftright(place, 15) == F.col("marked_block")).where(marked).select(*rows.columns)
+
+
+def only(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """Rows whose number in ``column`` is among ``keys`` (one column of numbers of ``monotonically_increasing_id``).
+
+    Such numbers run without gaps in a partition, so a bit each is sent to all tasks and the rows stay where
+    they lie. Beyond ``BITMAP_BYTES`` of bits it is a join by shuffle.
+    """
+    bitmaps = _bitmaps(keys, F.col(keys.columns[0]))
+    if bitmaps is None:
+        return rows.join(keys.select(F.col(keys.columns[0]).alias(column)), column, "left_semi")
+    return _marked(rows, F.col(column), bitmaps)
+
+
+def likely(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """All rows whose ``column`` is among ``keys``, and at most a sixteenth of the others; all, beyond ``BITMAP_BYTES``.
 
-    Spark builds the filter itself, of bounded size, and only from a side of bounded size.
+    A filter to run before a join by shuffle: 16 bits a key are sent to all tasks.
     """
-    key = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "0")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    bits = 1 << max(15, (16 * keys.count() - 1).bit_length())
+    if bits // 8 > BITMAP_BYTES:
+        return rows
+    bitmaps = _bitmaps(keys, F.pmod(F.xxhash64(keys.columns[0]), F.lit(bits)))
+    return rows if bitmaps is None else _marked(rows, F.pmod(F.xxhash64(column), F.lit(bits)), bitmaps)

@@ -32,15 +32,17 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from corpusloom.llm.common import bloom_filtered_joins
+from corpusloom.llm.common import likely, only
 from corpusloom.session import written
 
 WORDS = 5
@@ -65,9 +67,6 @@ class Hashes(dict):
         return value
 
 
-KNOWN = Hashes()
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -78,12 +77,12 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def labelled(words: list[bytes]) -> np.ndarray:
+def labelled(words: list[bytes], known: Hashes | None = None) -> np.ndarray:
     """Hash of each shingle and its occurrence number, in text order."""
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
-    look = KNOWN.__getitem__
+    look = (Hashes() if known is None else known).__getitem__
     hashes = np.fromiter([look(w) for w in words], np.uint64, n)
     width = min(WORDS, n)
     last = n - width + 1
@@ -134,19 +133,22 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
 def sketches(text: Column) -> Column:
     """key (16 bytes that tell word sequences apart), n (shingles), buckets."""
 
-    def run(texts: pa.Array) -> pa.Array:
-        keys, sizes, buckets = [], [], []
-        for text in texts.to_pylist():
-            words = words_of(text)
-            keys.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
-            shingles = labelled(words)
-            sizes.append(len(shingles))
-            buckets.append(sketch(shingles).view(np.int64))
-        starts = np.r_[0, np.cumsum([len(b) for b in buckets])].astype(np.int32)
-        flat = np.concatenate(buckets) if buckets else np.zeros(0, np.int64)
-        return pa.StructArray.from_arrays(
-            [pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(starts, flat)], ["key", "n", "buckets"]
-        )
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = Hashes()
+        for texts in batches:
+            keys, sizes, buckets = [], [], []
+            for text in texts:
+                words = words_of(text.as_py())
+                keys.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
+                shingles = labelled(words, known)
+                sizes.append(len(shingles))
+                buckets.append(sketch(shingles).view(np.int64))
+            starts = np.r_[0, np.cumsum([len(b) for b in buckets])].astype(np.int32)
+            flat = np.concatenate(buckets) if buckets else np.zeros(0, np.int64)
+            yield pa.StructArray.from_arrays(
+                [pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(starts, flat)],
+                ["key", "n", "buckets"],
+            )
 
     return arrow_udf(run, "struct<key: binary, n: bigint, buckets: array<bigint>>")(text)
 
@@ -179,44 +181,59 @@ def aligned(a: np.ndarray, b: np.ndarray) -> float:
     return m / (total - m) if m >= needed else 0.0
 
 
+def squeezed(text: Column) -> Column:
+    """The text in UTF-8, compressed for the way to its comparisons."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        press = zstandard.ZstdCompressor().compress
+        for texts in batches:
+            yield pa.array([press((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in texts], pa.binary())
+
+    return arrow_udf(run, "binary")(text)
+
+
 class Shingles(dict):
-    """Labelled shingles by text; begun anew when they have grown too large."""
+    """Labelled shingles by compressed text; begun anew when they have grown too large."""
 
-    size = 0
+    def __init__(self) -> None:
+        self.size, self.known, self.expand = 0, Hashes(), zstandard.ZstdDecompressor().decompress
 
-    def __missing__(self, text: str | None) -> np.ndarray:
-        found = labelled(words_of(text))
-        self.size += found.nbytes + len(text or "")
+    def __missing__(self, text: bytes) -> np.ndarray:
+        found = labelled(self.expand(text).split(), self.known)
+        self.size += found.nbytes + len(text)
         if self.size > KEPT_BYTES:
             self.clear()
-            self.size = found.nbytes + len(text or "")
+            self.size = found.nbytes + len(text)
         self[text] = found
         return found
 
 
-SHINGLES = Shingles()
+def compared(left: Column, right: Column, main: Column) -> Column:
+    """s: similarity (0 if too low). If ``main``, also common: shingles of both, and others: those of the right text alone.
 
+    Texts come ``squeezed``. What a worker keeps of them ends with the task.
+    """
 
-def compared(left: Column, right: Column, main: Column) -> Column:
-    """s: similarity (0 if too low). If ``main``, also common: shingles of both, and others: those of the right text alone."""
-
-    def run(lefts: pa.Array, rights: pa.Array, mains: pa.Array) -> pa.Array:
-        scores, common, others = [], [], []
-        for a, b, m in zip(lefts.to_pylist(), rights.to_pylist(), mains.to_pylist(), strict=True):
-            x, y = SHINGLES[a], SHINGLES[b]
-            scores.append(aligned(x, y))
-            alone = np.setdiff1d(y, x, assume_unique=True) if m else None
-            common.append(len(y) - len(alone) if m else None)
-            others.append(alone.view(np.int64) if m else None)
-        return pa.StructArray.from_arrays(
-            [pa.array(scores, pa.float64()), pa.array(common, pa.int64()), pa.array(others, pa.list_(pa.int64()))], ["s", "common", "others"]
-        )
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        shingles = Shingles()
+        for lefts, rights, mains in batches:
+            scores, common, others = [], [], []
+            for a, b, m in zip(lefts, rights, mains, strict=True):
+                x, y = shingles[a.as_py()], shingles[b.as_py()]
+                scores.append(aligned(x, y))
+                alone = np.setdiff1d(y, x, assume_unique=True) if m.as_py() else None
+                common.append(None if alone is None else len(y) - len(alone))
+                others.append(None if alone is None else alone.view(np.int64))
+            yield pa.StructArray.from_arrays(
+                [pa.array(scores, pa.float64()), pa.array(common, pa.int64()), pa.array(others, pa.list_(pa.int64()))],
+                ["s", "common", "others"],
+            )
 
     return arrow_udf(run, "struct<s: double, common: bigint, others: array<bigint>>")(left, right, main)
 
 
 def with_comparison(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b, main) with ``got`` (``compared``). ``texts``: row, text."""
+    """Pairs (a, b, main) with ``got`` (``compared``). ``texts``: row, text (``squeezed``)."""
     left = texts.select(F.col("row").alias("a"), F.col("text").alias("left"))
     right = texts.select(F.col("row").alias("b"), F.col("text").alias("right"))
     return pairs.join(right, "b").join(left, "a").select("a", "b", compared(F.col("left"), F.col("right"), F.col("main")).alias("got"))
@@ -248,12 +265,12 @@ def components(links: DataFrame) -> DataFrame:
 
 def linked(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Components (node, component) of nodes that share buckets and are similar. ``members``: bucket, node, n."""
-    with bloom_filtered_joins(members.sparkSession):
-        shared = written(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
-        crowd = written(members.join(shared.where("size > 1"), "bucket"))
-        weights = written(crowd.groupBy("node").agg(F.sum("size").alias("weight")))
-        # Only texts that share a bucket are ever compared; they are fetched once.
-        texts = written(texts.join(weights.where("weight > 1").select(F.col("node").alias("row")), "row", "left_semi"))
+    shared = written(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
+    # Most buckets hold one text; their members are ruled out before the join moves any.
+    crowd = written(likely(members, "bucket", shared.select("bucket")).join(shared, "bucket"))
+    weights = written(crowd.groupBy("node").agg(F.sum("size").alias("weight")))
+    # Only texts that share a bucket are ever compared.
+    texts = written(only(texts, "row", weights.select("node")).select("row", squeezed(F.col("text")).alias("text")))
     weighed = written(crowd.join(weights, "node").select("bucket", "node", "n", "weight"))
     best = F.max(F.struct("weight", (-F.col("node")).alias("first"))).alias("hub")
     hubs = weighed.groupBy("bucket").agg(best).select("bucket", (-F.col("hub.first")).alias("hub"), F.col("hub.weight").alias("hub_weight"))
@@ -283,6 +300,8 @@ def linked(members: DataFrame, texts: DataFrame) -> DataFrame:
     bounded = F.coalesce((F.col("r.hub") != F.col("q.hub")) | (most >= needed), F.lit(True))
     on = (F.col("r.bucket") == F.col("q.bucket")) & (F.col("r.node") < F.col("q.node")) & (F.col("r.component") != F.col("q.component"))
     pairs = r.join(q, on & alike & bounded).select(F.col("r.node").alias("a"), F.col("q.node").alias("b"), F.lit(False).alias("main")).distinct()
+    pairs = written(pairs)
+    texts = only(texts, "row", pairs.select(F.explode(F.array("a", "b")).alias("row")))
     more = written(with_comparison(pairs, texts).where("got.s > 0").select("a", "b"))
     return found if more.isEmpty() else components(links.union(more))
 
@@ -302,7 +321,7 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         stored.select("doc.doc_id", "row", F.col("sketch.key").alias("key")).groupBy("key").agg(F.min("row").alias("node"), first)
     )
     slim = stored.select(F.col("row").alias("node"), F.col("sketch.n").alias("n"), F.col("sketch.buckets").alias("buckets"))
-    members = slim.join(nodes.select("node"), "node", "left_semi").select(F.explode("buckets").alias("bucket"), "node", "n")
+    members = only(slim, "node", nodes.select("node")).select(F.explode("buckets").alias("bucket"), "node", "n")
     found = linked(members, stored.select("row", "doc.text"))
     named = nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     firsts = named.groupBy("component").agg(F.min("first").alias("best"))
@@ -319,7 +338,4 @@ def classes(docs: DataFrame) -> DataFrame:
 def first_of_each(docs: DataFrame) -> DataFrame:
     """The row with the smallest doc_id of each group, with all columns of ``docs``."""
     stored, named = grouped(docs)
-    dropped = (
-        stored.select("row", F.col("sketch.key").alias("key")).join(named, "key").where(F.col("row") != F.col("keep")).select("row")
-    )
-    return stored.join(dropped, "row", "left_anti").select("doc.*")
+    return only(stored, "row", named.select("keep").distinct()).select("doc.*")

@@ -212,13 +212,8 @@ def judge(docs: DataFrame, labels: DataFrame, training: DataFrame | None = None,
     """
     kept = [c for c in keep if c != "doc_id"]
     measure = textstats.column(F.col("text")).alias("stats")
-    if training is None:
-        rows = learnt = written(docs.select("doc_id", measure))
-    else:
-        marked = labels.where("doc_id is not null").select("doc_id").distinct()
-        learnt = training.select("doc_id", "text").join(marked, "doc_id", "left_semi").select("doc_id", measure)
-    if training is not None or kept:
-        rows = docs.select("doc_id", *kept, measure)
+    learnt = written((docs if training is None else training).select("doc_id", measure))
+    rows = docs.select("doc_id", *kept, measure) if training is not None or kept else learnt
     found = fit(learnt, labels.select("doc_id", "quality"))
     stats = F.col("stats")
     out = rows.select(

@@ -3,7 +3,7 @@
 Every page is parsed once to score its containers: a paragraph gives its text, less the
 text of links, to its parent, half of it to the parent's parent and a third one level up;
 ``article`` and ``main`` count double. The best container, widened while its parent adds
-nothing but headings, names a generalised path (tags with their classes, digits
+nothing but headings or, within content, long paragraphs of text, names a generalised path (tags with their classes, digits
 removed). Spark counts these votes by host; paths with at least a twentieth of a
 host's votes win, which leaves at most twenty a host. Then every page is parsed
 again. Of the winning paths that it contains, and that hold text, the one whose container scores
@@ -17,7 +17,8 @@ sidebars, forms, scripts, notices, adverts, shared links, comments and hidden el
 tag, role, or a whole word of class or id.
 
 A block that its names or the tag ``form`` mark may still be a wrapper of the page. Its text is read
-apart, and ``relieve`` makes the block a plain container if the page's text turns out to lie in it.
+apart, and ``relieve`` makes the block a plain container if the page's text turns out to lie in it. Blocks of one path
+that are marked by the same words are judged together. A study's section "Discussion" or "Related work" is text.
 
 Edge cases: a null or empty html gives an empty text; a page without containers gives
 the text of its body. A null url is the host ''. Repeated rows are extracted one by one.
@@ -67,6 +68,12 @@ NOISE = frozenset(
 )
 # Words that mark what readers say; such a block is a wrapper only if no other text is sound.
 READERS = frozenset("comment comments discussion disqus replies reply respond".split())
+# Words by which page builders mark every block, and words that mark sections of studies too.
+BUILDERS, STUDIES = frozenset(("widget", "widgets")), frozenset(("discussion", "related"))
+# Headings of such sections.
+STUDY = re.compile(r"(?:[0-9.]+ )?(?:(?:general |results and )?discussion(?: and conclusions?)?|related (?:work|works|literature|research|studies))", re.I)
+#: Length from which a paragraph is text beyond doubt, if at most a quarter of it is links.
+LONG = 80
 #: How often a container in a marked block has to outscore all sound ones; ``article``, ``main`` and wrappers by name once.
 OUTSCORE = 10
 # Class and id names that describe a layout, and names of wrappers.
@@ -105,13 +112,13 @@ CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
 class Element:
-    __slots__ = ("tag", "path", "parent", "noise", "order", "headings", "own", "score", "text", "links", "depth", "inside", "names", "soft")
+    __slots__ = ("tag", "path", "parent", "noise", "order", "headings", "own", "score", "text", "links", "long", "depth", "inside", "names", "soft")
 
     def __init__(self, tag: str, path: str, parent: Element | None, noise: bool, order: int):
         self.tag, self.path, self.parent, self.noise, self.order = tag, path, parent, noise, order
         self.depth = parent.depth + 1 if parent else 0
         self.inside = bool(parent) and parent.inside
-        self.score, self.text, self.links, self.headings = 0.0, 0, 0, 0
+        self.score, self.text, self.links, self.long, self.headings = 0.0, 0, 0, 0, 0
         #: Marked as boilerplate itself by names or tag, its names, and the innermost such block that holds it.
         self.own, self.names, self.soft = False, "", parent.soft if parent else None
 
@@ -175,11 +182,13 @@ def shared(a: Element, b: Element) -> Element:
 def credit(holder: Element, size: int, share: int, heading: bool) -> None:
     """Count a block for its containers, up to the innermost marked one."""
     soft = holder.soft
+    long = size if holder.tag == "p" and size >= LONG and 4 * share <= size and not heading else 0
     for e in lineage(holder):
         if e.soft is not soft:
             break
         e.text += size
         e.links += share
+        e.long += long
         e.headings += size if heading else 0
     if heading:
         return
@@ -202,19 +211,45 @@ def wrappers(e: Element | None) -> Iterator[Element]:
 
 def weigh(elements: list[Element], sizes: list[tuple[Element, int, int, bool]]) -> None:
     for e in elements:
-        e.score, e.text, e.links, e.headings = 0.0, 0, 0, 0
+        e.score, e.text, e.links, e.long, e.headings = 0.0, 0, 0, 0, 0
         e.soft = e if e.own else e.parent.soft if e.parent else None
     for block in sizes:
         credit(*block)
 
 
-def relieve(elements: list[Element], sizes: list[tuple[Element, int, int, bool]]) -> None:
+def alike(e: Element) -> tuple[str, frozenset[str]]:
+    """What marked blocks that are judged together share: path and words of boilerplate."""
+    return e.path, NOISE.intersection(split(e.names))
+
+
+def free_sections(elements: list[Element], blocks: list[tuple[Element, str, bool]]) -> bool:
+    """Make sections of a study plain containers. Was there one?
+
+    Such a section stands in an ``article`` or ``main``, has its own heading, few links and no marked block in it.
+    """
+    titles = dict[Element, str]()
+    for holder, text, heading in blocks:
+        if heading and holder.soft is not None:
+            titles.setdefault(holder.soft, text)
+    outer = {w for e in elements if e.own and e.parent for w in wrappers(e.parent)}
+    found = False
+    for e, title in titles.items():
+        held = any(a.tag in ("article", "main") for a in lineage(e))
+        if held and e not in outer and STUDY.fullmatch(title) and 4 * e.links <= e.text and STUDIES.issuperset(alike(e)[1]):
+            e.own, found = False, True
+    return found
+
+
+def relieve(elements: list[Element], sizes: list[tuple[Element, int, int, bool]], blocks: list[tuple[Element, str, bool]]) -> None:
     """Make marked blocks plain containers where they wrap the text of the page; the rest is boilerplate.
 
     A form does if most of the paragraphs lie in it. Any block does if a container in it outscores all
     sound ones: an article, main or one in a wrapper by name at all, others ``OUTSCORE`` times or, like what
-    readers say, only where nothing is sound.
+    readers say, only where nothing is sound. The blocks of a page builder count together; where a block is freed, so are
+    all that are ``alike``, but for those that are mostly links.
     """
+    if free_sections(elements, blocks):
+        weigh(elements, sizes)
     total, inside = 0, dict[Element, int]()
     for holder, size, share, heading in sizes:
         if not heading:
@@ -228,24 +263,39 @@ def relieve(elements: list[Element], sizes: list[tuple[Element, int, int, bool]]
     if forms:
         weigh(elements, sizes)
     sound = max((value(e) for e in elements if e.score and not e.noise and e.soft is None), default=0.0)
+    built = dict[tuple[str, frozenset[str]], list[float]]()
+    for e in elements:
+        if e.own and e.score and not e.noise and alike(e)[1] <= BUILDERS and all(alike(w)[1] <= BUILDERS for w in wrappers(e)):
+            built.setdefault(alike(e), []).append(value(e))
     top, most = None, 0.0
     for e in elements:
-        if e.noise or e.soft is None or not e.score or (worth := value(e)) <= most:
+        if e.noise or e.soft is None or not e.score:
+            continue
+        group = built.get(alike(e), []) if e.own else []
+        if (worth := sum(group) if len(group) > 1 else value(e)) <= most:
             continue
         around = list(wrappers(e))
         readers = any(not READERS.isdisjoint(split(w.names)) for w in around)
         if sound:
             plain = e.tag in ("article", "main") and NOISE.isdisjoint(split(e.names))
             plain = plain or e.soft is not e and all(any(WRAPS.fullmatch(n) for n in w.names.split()) for w in around)
-            if readers or worth <= sound * (1 if plain else OUTSCORE) or e.own:
+            if readers or worth <= sound * (1 if plain else OUTSCORE) or e.own and len(group) < 2:
                 continue
-        elif e.own and not e.inside:
+        elif e.own and not e.inside and len(group) < 2:
             continue
         top, most = e, worth
     if top is not None:
-        for w in list(wrappers(top)):
-            w.own = False
+        freed = set(wrappers(top))
+        kinds = {alike(w) for w in freed}
+        sisters = [e for e in elements if e.own and e not in freed and alike(e) in kinds]
+        for e in (*freed, *sisters):
+            e.own = False
         weigh(elements, sizes)
+        listed = [e for e in sisters if 2 * e.links > e.text]
+        for e in listed:
+            e.own = True
+        if listed:
+            weigh(elements, sizes)
     for e in elements:
         e.noise = e.noise or e.soft is not None
 
@@ -363,7 +413,7 @@ def parse(page: str) -> tuple[list[Element], list[tuple[Element, str, bool]]]:
     flush()
     weigh(elements, sizes)
     if any(holder.soft for holder, *_ in sizes):
-        relieve(elements, sizes)
+        relieve(elements, sizes, blocks)
         blocks = [b for b in blocks if b[0].soft is None]
     return elements, blocks
 
@@ -373,7 +423,7 @@ def value(e: Element) -> float:
 
 
 def best(elements: list[Element]) -> Element | None:
-    """The container with the best score, widened while its parent adds only headings."""
+    """The container with the best score, widened while its parent adds only headings or long paragraphs."""
     top, most = None, 0.0
     for e in elements:
         if not e.noise and e.score and (worth := value(e)) > most:
@@ -381,9 +431,18 @@ def best(elements: list[Element]) -> Element | None:
     return widened(top) if top else None
 
 
+def continued(top: Element, up: Element) -> bool:
+    """What ``up`` adds to ``top`` is a part of the text: within content, mostly long paragraphs, and not little beside it."""
+    more = up.text - up.headings - top.text + top.headings
+    return up.inside and top.tag not in ("article", "main") and 4 * more >= top.text and 5 * (up.long - top.long) >= 4 * more > 0
+
+
 def widened(top: Element) -> Element:
     while top.parent and top.parent.parent and top.parent.tag != "body":
         up = top.parent
+        if continued(top, up):
+            top = up
+            continue
         if up.text - up.headings > top.text - top.headings or (up.headings == top.headings and up.tag not in ("article", "main")):
             break
         top = up

@@ -91,6 +91,40 @@ def test_marked_blocks_beside_an_article_stay_out(noise):
     assert html_text.extract('<div class="cookie-notice"><p>We use cookies</p></div>', [])[0] == ""
 
 
+PART = "<p>Part %d of the story is told here, in a paragraph that is long enough to be text beyond any doubt.</p>"
+BLOCKS = ['<div class="elementor-widget"><div class="elementor-widget-container">%s</div></div>', '<div class="widget_text">%s</div>', '<section class="widget">%s</section>']
+
+
+@pytest.mark.parametrize("block", BLOCKS)
+@pytest.mark.parametrize("page", ["<body><div>%s</div></body>", "<body><article>%s</article></body>", "<body><main><h1>Head</h1><p>By A.</p>%s</main></body>"])
+def test_pages_of_builder_blocks_are_whole(block, page):
+    menu = block % '<p><a href="/a">One link and another</a></p><p><a href="/b">One more</a></p>'
+    whole = page % ("".join(block % (PART % k) for k in range(3)) + menu)
+    text = html_text.extract(whole, [html_text.vote(whole)])[0]
+    assert [k for k in range(3) if f"Part {k} of" in text] == [0, 1, 2] and "One more" not in text
+
+
+def test_builder_blocks_beside_an_article_stay_out():
+    side = "".join(BLOCKS[0] % "<p>Things that happen elsewhere on this site, told briefly.</p>" for _ in range(4))
+    assert "elsewhere" not in html_text.extract(f"<body><article>{PART % 1}{PART % 2}</article><div>{side}</div></body>", [])[0]
+
+
+@pytest.mark.parametrize("section", ['<section id="discussion"><h2>4. Discussion</h2>%s</section>', '<div class="related-work"><h3>Related work</h3>%s</div>'])
+def test_sections_of_a_study_are_text(section):
+    page = f"<body><article>{PART % 1}{section % (PART % 2)}{PART % 3}</article></body>"
+    assert "Part 2" in html_text.extract(page, [])[0]
+    said = section % f'<div class="comment">{PART % 4}</div>'
+    assert "Part 4" not in html_text.extract(page.replace(section % (PART % 2), said), [])[0]
+    unnamed = section.replace("4. Discussion", "12 replies").replace("Related work", "Read this too")
+    assert "Part 2" not in html_text.extract(page.replace(section % (PART % 2), unnamed % (PART % 2)), [])[0]
+
+
+def test_an_article_in_differently_named_blocks_is_whole():
+    parts = "".join(f'<div class="{name}">{PART % k}{PART % k}</div>' for k, name in enumerate(("intro", "method", "findings")))
+    got = html_text.extract(f'<body><div class="content"><h1>Head</h1>{parts}</div><div class="about"><p>About this site.</p></div></body>', [])[0]
+    assert got.split("\n")[0] == "Head" and all(got.count(f"Part {k} of") == 2 for k in range(3)) and "About" not in got
+
+
 def test_generalised_paths_ignore_numbers():
     assert html_text.vote(PAGE % 3) == html_text.vote(PAGE % 77) == "body.x>div.w.wrap>article.post"
 

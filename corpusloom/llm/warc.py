@@ -4,8 +4,9 @@ Headers (payload digest, page_id, length) are summed by digest; digests that occ
 once name their original, the smallest page_id. Only those are joined back to the pages, so
 a table without copies moves no payload. Every page then becomes one WARC/1.1 record:
 a response with its payload, or a revisit that names the original and has no payload. Spark's
-text writer writes the records (the blank lines that end a record are its line separator),
-a bounded number to a file. Reading takes one file at a time, by ``Content-Length``,
+text writer writes the records (the blank lines that end a record are its line separator).
+Pages are written by size, each size with as many records to a file as keep its payloads within
+``FILE_BYTES``; a longer page has a file of its own. Reading takes one file at a time, by ``Content-Length``,
 recomputes length and digest of each payload and resolves revisits by a join on the digest.
 
 Edge cases: a null html is an empty payload. A null page_id comes last; it is written
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 from corpusloom.session import shared_dir, written
 
 END = "\r\n\r\n"
-#: Records of a file, so that a file fits a task's memory.
-FILE_RECORDS = 1000
+#: Most records of a file, and most bytes of its payloads if there are several, so that a file fits a task's memory.
+FILE_RECORDS, FILE_BYTES = 1000, 1 << 26
+#: Pages of one size: their payloads differ by this factor at most, the shortest aside.
+SIZES = 4
 #: Payloads with fewer bytes are always responses.
 LEAST_BYTES = 0
 DATE = "2024-01-01T00:00:00Z"
@@ -98,10 +101,18 @@ def records(rows: DataFrame) -> Column:
 def write(pages: DataFrame, path: str) -> None:
     """Write every page as a WARC record into files under ``path``."""
     rows = resolved(pages)
-    (
-        rows.select(records(rows).alias("value"))
-        .write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).text(path)
-    )
+    longest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    low, high = -1, FILE_BYTES // FILE_RECORDS
+    while low < longest or low < 0:
+        if high >= FILE_BYTES:
+            high = longest
+        some = rows.where((F.col("bytes") > low) & (F.col("bytes") <= high))
+        at_most = max(1, min(FILE_RECORDS, FILE_BYTES // max(1, high)))
+        (
+            some.select(records(some).alias("value"))
+            .write.mode("append").option("lineSep", END).option("maxRecordsPerFile", at_most).text(path)
+        )
+        low, high = high, max(1, high) * SIZES
 
 
 def parsed(data: bytes):

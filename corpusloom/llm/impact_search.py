@@ -14,9 +14,9 @@ Queries are packed into chunks of a bounded size, and every chunk meets every bl
 holds one block and one chunk. This is the stated query set against all rows, in blocks.
 
 Edge cases: vectors that are null, or hold null or non-finite components, and rows without
-an id take no part. Of rows with the same id the one with the smallest components counts.
-Shorter vectors are filled with zeros. A query never finds its own id. Ties go to the
-smaller id. An empty table gives an empty result.
+an id take no part. Rows that repeat an id are candidates of their own, for queries with other ids;
+queries that repeat an id share one list of k rows. Shorter vectors are filled with zeros. A query
+never finds its own id. Ties go to the smaller id. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -45,9 +45,8 @@ def components(vector: Column) -> Column:
 
 
 def sound_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """vec_id, v: one row per id."""
-    taking = rows.select(F.col(vec_id).alias("vec_id"), components(F.col(vector)).alias("v")).where("vec_id is not null and v is not null")
-    return taking.groupBy("vec_id").agg(F.min("v").alias("v"))
+    """vec_id, v of the rows that take part."""
+    return rows.select(F.col(vec_id).alias("vec_id"), components(F.col(vector)).alias("v")).where("vec_id is not null and v is not null")
 
 
 def matrix(vectors: list, width: int) -> np.ndarray:
@@ -67,7 +66,8 @@ def packed(rows: DataFrame, most: int, key: str) -> tuple[DataFrame, int]:
         data = matrix(group["v"].tolist(), width)
         return pd.DataFrame({key: [group[key].iloc[0]], "ids": [group["vec_id"].to_numpy(np.int64).tobytes()], "width": [width], "data": [data.tobytes()]})
 
-    dealt = rows.withColumn(key, F.pmod(F.xxhash64("vec_id"), F.lit(packs)).cast("int"))
+    # Dealt by row, so that rows with one id do not meet in one pack.
+    dealt = rows.withColumn(key, F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(packs)).cast("int"))
     return dealt.groupBy(key).applyInPandas(run, f"{key} int, ids binary, width int, data binary"), packs
 
 

@@ -144,16 +144,15 @@ def test_long_text_is_sketched_whole():
 
 
 def brute_search(rows, k):
-    vectors = {}
+    vectors = []
     for i, v in rows:
         if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            v = [int(np.floor(1024 * np.float64(np.float32(x)))) for x in v]
-            vectors[i] = min(vectors.get(i, v), v)
-    out = []
-    for q in (i for i in vectors if i % 100 == 0):
-        scores = sorted((-sum(a * b for a, b in zip(vectors[q], v, strict=False)), i) for i, v in vectors.items() if i != q)
-        out += [(q, r, i, -s) for r, (s, i) in enumerate(scores[:k], 1)]
-    return sorted(out)
+            vectors.append((i, [int(np.floor(1024 * np.float64(np.float32(x)))) for x in v]))
+    lists = {}
+    for q, asked in vectors:
+        if q % 100 == 0:
+            lists.setdefault(q, []).extend((-sum(a * b for a, b in zip(asked, v, strict=False)), i) for i, v in vectors if i != q)
+    return sorted((q, r, i, -s) for q, found in lists.items() for r, (s, i) in enumerate(sorted(found)[:k], 1))
 
 
 @pytest.mark.parametrize("block,chunk", [(8192, 2048), (150, 3)])
@@ -164,7 +163,8 @@ def test_impact_search_is_exact(spark, monkeypatch, block, chunk):
     rows = [(int(k), [float(x) for x in rng.normal(0, 0.2, 16).astype(np.float32)]) for k in range(900)]
     rows += [(k, rows[7][1]) for k in range(900, 980)]
     rows += [(980, None), (981, [float("nan")] + [0.0] * 15), (1000, [None] + [0.1] * 15), (1100, [float("inf")] * 16), (None, rows[0][1])]
-    rows += [(1200, [0.0] * 16), (1201, [0.5] * 4), (1202, []), rows[5], (5, rows[6][1])]
+    rows += [(1200, [0.0] * 16), (1201, [0.5] * 4), (1202, []), rows[5], (5, rows[6][1]), (100, rows[6][1]), rows[200]]
+    rows += [(301, rows[8][1])] * 400
     frame = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, score int")
     vectors = impact_search.sound_vectors(frame)
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in impact_search.search(vectors, vectors.where("vec_id % 100 = 0"), 10).collect())
@@ -219,6 +219,20 @@ def test_archives_round_trip(spark, tmp_path):
     assert got == text
 
 
+def test_archives_are_bounded_in_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_RECORDS", 100)
+    monkeypatch.setattr(warc, "FILE_BYTES", 30_000)
+    rows = [(k, None, f"{k} " + "x" * (k % 7 * 1000)) for k in range(300)] + [(k, None, f"{k}" * 40_000) for k in range(300, 310)]
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
+    counts = []
+    for file in (tmp_path / "w").glob("*.txt"):
+        payloads = [len(p) for _, p in warc.parsed(file.read_bytes())]
+        assert len(payloads) <= 100 and (len(payloads) <= 1 or sum(payloads) <= 30_000)
+        counts.append(len(payloads))
+    assert sum(counts) == 310 and max(counts) > 10
+    assert sorted((r.page_id, r.payload) for r in warc.read(spark, str(tmp_path / "w")).collect()) == [(p, h) for p, _, h in rows]
+
+
 def test_no_pages_and_cut_archives(spark):
     assert warc.archive(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     with pytest.raises(ValueError, match="cut short"):

@@ -16,9 +16,16 @@ from corpusloom.session import shared_dir
 from corpusloom.streaming import jobs, stateful
 
 
+def _feed(spark, d, name):
+    """The files of a table as they lie: one file of that name, or a folder of parts.
+
+    A stream takes a single file only by a pattern; the braces hold the name and nothing else.
+    """
+    return spark.readStream.schema(w.table(spark, d, name).schema).parquet(f"{d.rstrip('/')}/{{{name}}}.parquet")
+
+
 def _stream(spark, d, name):
-    schema = w.table(spark, d, name).schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    rows = _feed(spark, d, name)
     return w.timed(rows) if "ts" in rows.columns else rows
 
 
@@ -44,7 +51,7 @@ def _closed(spark, d, shape):
     raw = w.table(spark, d, "events")
     raw.limit(0).write.parquet(f"{ends}/none")
     feeds = [
-        spark.readStream.schema(raw.schema).option("pathGlobFilter", "events.parquet").parquet(d),
+        _feed(spark, d, "events"),
         spark.readStream.schema(raw.schema).option("recursiveFileLookup", "true").parquet(ends),
     ]
     stream = shape(w.timed(feeds[0].unionByName(feeds[1])))

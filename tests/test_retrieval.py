@@ -318,3 +318,21 @@ def test_cells_keep_tenants_with_any_name(spark):
     assert {r["tenant_id"] for r in got} == set(names) and len(got) == 12
     exact = vectors.cosine_topk(stored, asked, k=3).collect()
     assert {(r["tenant_id"], r["chunk_id"]) for r in got} == {(r["tenant_id"], r["chunk_id"]) for r in exact}
+
+
+def test_embedding_sends_only_terms_to_python(spark):
+    df = spark.createDataFrame([("a b a", "x"), (None, "y")], "text string, other string")
+    out = vectors.embed_chunks(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
+    got = {r["other"]: r["embedding"] for r in out.collect()}
+    assert sum(map(abs, got["x"])) > 0 and got["y"] == [0.0] * vectors.DIM
+
+
+def test_snapshot_derives_metadata_once(spark, sf, monkeypatch):
+    from corpusloom.operators import prepare
+
+    calls, whole = [], prepare.document_metadata
+    monkeypatch.setattr(prepare, "document_metadata", lambda *a, **k: calls.append(a) or whole(*a, **k))
+    st = r.build_store(spark, sf)
+    assert len(calls) == 1 and st.chunks.count() > 0

@@ -140,3 +140,9 @@ def test_sidecar_beats_frontmatter(spark):
     side = spark.createDataFrame([("t", "a", "ANVISA", None, None, None, None, None, None, None), ("t", "b", "CRF", None, None, None, None, None, None, None)], cols)
     got = {r["filename"]: (r["authority"], r["regulation_number"]) for r in prepare.merge_confirmed(front, side).collect()}
     assert got == {"a": ("ANVISA", "RDC 1"), "b": ("CRF", None)}
+
+
+def test_an_issuer_is_a_word_of_its_own(spark):
+    heads = ["token 09c97cff9132", "onretiontion.ncff Reou", "emitida pelo cff.", "CFF"]
+    df = spark.createDataFrame([(h,) for h in heads], "head string").select(prepare.authority(F.col("head")).alias("a"))
+    assert [r["a"] for r in df.collect()] == [None, None, "CFF", "CFF"]

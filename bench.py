@@ -48,7 +48,7 @@ def main() -> None:
     times: dict[str, float] = {}
 
     start = time.perf_counter()
-    store = retrieval.store(spark, sf_dir)
+    store = retrieval.store(spark, sf_dir).whole()
     times["build_store"] = round(time.perf_counter() - start, 3)
     chunks = store.chunks.count()
     asked = spark.read.parquet(f"{sf_dir}/benchmark.parquet").count() * 20

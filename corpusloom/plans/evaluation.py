@@ -30,7 +30,7 @@ def bm25_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexical search of every question, judged by the documents holding its passage."""
     st, q = r.store(spark, sf_dir), w.questions(spark, sf_dir)
     hits = lexical.bm25_search(st.index, q)
-    retrieved = ranked_documents(hits, st.chunks, "bm25_rank")
+    retrieved = ranked_documents(hits, st.terms, "bm25_rank")
     return evaluate.retrieval_metrics(q, retrieved, r.gold_documents(spark, sf_dir))
 
 
@@ -58,7 +58,7 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def repair_loop(st: r.Store, questions: DataFrame, options: Options = DEFAULTS) -> DataFrame:
+def repair_loop(st: r.Store | r.Snapshot, questions: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     """Retrieve, assess, and ask again what stayed without evidence, a few rounds at most.
 
     Each round is one bulk job over the questions still open; its result is

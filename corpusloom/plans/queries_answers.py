@@ -13,12 +13,12 @@ KEY = ["tenant_id", "answer_id"]
 
 
 def _checked(spark, d):
-    chunks = r.store(spark, d).chunks
+    chunks = r.cited_chunks(spark, d)
     return audit.citation_validity(w.answers(spark, d), w.answer_contexts(spark, d, chunks))
 
 
 def _audited(spark, d):
-    chunks = r.store(spark, d).chunks
+    chunks = r.cited_chunks(spark, d)
     return audit.audit_answers(w.answers(spark, d), w.answer_contexts(spark, d, chunks))
 
 

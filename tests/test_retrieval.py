@@ -336,3 +336,25 @@ def test_snapshot_derives_metadata_once(spark, sf, monkeypatch):
     monkeypatch.setattr(prepare, "document_metadata", lambda *a, **k: calls.append(a) or whole(*a, **k))
     st = r.build_store(spark, sf)
     assert len(calls) == 1 and st.chunks.count() > 0
+
+
+def test_snapshot_stores_only_what_is_asked_for(spark, sf):
+    st = r.Snapshot(spark, sf)
+    found = st.vectors
+    assert st.has("meta") and not any(st.has(p) for p in ("chunks", "terms", "index", "topics", "edges", "described"))
+    slim = st.terms
+    assert not st.has("chunks")
+    whole = st.chunks
+    assert found.exceptAll(whole.select(*found.columns)).isEmpty() and slim.exceptAll(whole.select(*slim.columns)).isEmpty()
+    assert st.described.columns == [c for c in whole.columns if c not in r.INDEXED]
+    assert sorted(r.Snapshot(spark, sf).described.columns) == sorted(st.described.columns)
+
+
+def test_audits_cut_only_the_documents_that_answers_cite(spark, sf):
+    from corpusloom.plans import workload as w
+
+    mine = r.cited_chunks(spark, sf)
+    whole = r.Snapshot(spark, sf).described.select(*mine.columns)
+    cited = w.answers(spark, sf).select("tenant_id", "document_id").distinct()
+    meant = whole.join(cited, ["tenant_id", "document_id"], "left_semi").select(*mine.columns)
+    assert mine.count() == meant.count() < whole.count() and mine.exceptAll(meant).isEmpty()

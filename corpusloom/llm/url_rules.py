@@ -1,17 +1,17 @@
 """URL filter by association rules between URL tokens and labels.
 
 A URL becomes a set of tokens: its host, the words of the host, path segments, file
-extension, query keys and a mark for a fragment; tokens of digits alone are one token. Spark's
-FP-growth mines token combinations that are frequent among labelled URLs together with the label.
+extension, query keys and a mark for a fragment; tokens of digits alone are one token. Token combinations that are
+frequent among labelled URLs are counted with the label, a size at a time, each size by one grouping of all labelled URLs.
 A combination whose share of one label reaches ``CONFIDENCE`` is a rule; a rule falls away
 if a part of it is a rule for the same label and as sure. Rules are kept under their rarest token, so
 a URL looks up only the rules of its own tokens and checks the rest of each. Of the rules that fit, the surest
 decides, then the most frequent, then the longer one, then block before allow. A URL that no rule fits is allowed.
 
-Bounds: tokens and combinations less frequent than ``SUPPORT``, or in fewer than ``LEAST_ROWS`` URLs, are never mined. Of the frequent ones the
-``VOCABULARY`` that say most about the label (likelihood ratio) take part, and of a URL its ``TOKENS`` best, so
-that a template's fixed tokens do not multiply. A rule has at most ``RULE_TOKENS`` tokens. The number of rules is therefore
-at most the 793 combinations of a URL over ``SUPPORT``, whatever the input; they travel to the tasks with the function.
+Bounds: a rule has at most ``RULE_TOKENS`` tokens and is right in ``SUPPORT`` of the labelled URLs, ``LEAST_ROWS`` at least; that is what a rule
+is. Every token takes part, and all tokens of a URL. A combination is not extended where no larger rule could stay beside its parts: if all its
+URLs have one label, and if a part of it lies in the same URLs (so the fixed tokens of a template do not multiply). Since combinations
+are frequent, their number depends on the tokens of a URL, not on the input; rules travel to the tasks with the function.
 All labelled URLs are counted and mined. Judging reads each URL once and shuffles nothing.
 
 Edge cases: a null URL, or one without ``://``, has an empty host and path and no token; it is allowed unless
@@ -24,10 +24,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import pandas as pd
-from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from corpusloom.session import written
@@ -35,7 +35,7 @@ from corpusloom.session import written
 SUPPORT, CONFIDENCE = 0.005, 0.95
 #: Labelled URLs that a frequent combination takes at least.
 LEAST_ROWS = 20
-VOCABULARY, TOKENS, RULE_TOKENS = 512, 12, 4
+RULE_TOKENS = 4
 
 ALLOW, BLOCK = "allow", "block"
 #: Items that stand for labels; no URL token begins so.
@@ -118,60 +118,84 @@ class Rule:
     support: float
 
 
-def vocabulary(labelled: DataFrame, n: int, least: float) -> list[str]:
-    """The tokens in ``least`` rows or more that say most about the label, best first."""
-    blocked = F.count_if(F.col("label") == BLOCK)
-    totals = labelled.agg(blocked.alias("b")).first()
-    share = totals["b"] / n
+#: Combinations that a task counts before it passes its sums on.
+COUNTED = 100_000
 
-    def term(seen: Column, expected: Column) -> Column:
-        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
 
-    counts = (
-        labelled.select("label", F.explode("tokens").alias("token")).groupBy("token")
-        .agg(F.count("*").alias("n"), blocked.alias("b")).where(F.col("n") >= least)
-    )
-    gain = F.lit(0.0)
-    if 0 < share < 1:
-        gain = term(F.col("b"), F.col("n") * share) + term(F.col("n") - F.col("b"), F.col("n") * (1 - share))
-    best = counts.orderBy(F.round(gain, 6).desc(), F.col("n").desc(), "token").limit(VOCABULARY)
-    return [r["token"] for r in best.collect()]
+def extensions(items: list[str], open_: set[tuple[str, ...]], size: int) -> Iterator[tuple[str, ...]]:
+    """Combinations of ``size`` sorted items whose parts one smaller are all open."""
+    front: list[tuple[str, ...]] = [()]
+    for length in range(1, size + 1):
+        grown = ((*f, item) for f in front for item in items if not f or item > f[-1])
+        if length == size:
+            yield from (c for c in grown if size == 1 or all(p in open_ for p in combinations(c, size - 1)))
+        else:
+            front = [c for c in grown if c in open_]
 
 
-def mine(labelled: DataFrame) -> list[Rule]:
-    """Rules from (tokens, label), surest first."""
-    n = labelled.count()
-    least = max(SUPPORT * n, LEAST_ROWS)
-    known = vocabulary(labelled, n, least) if n else []
-    if not known:
-        return []
-    best = F.array(*(F.lit(t) for t in known))
-    label = F.when(F.col("label") == BLOCK, LABEL[BLOCK]).otherwise(LABEL[ALLOW])
-    baskets = labelled.select(F.concat(F.slice(F.array_intersect(best, F.col("tokens")), 1, TOKENS), F.array(label)).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=least / n, minConfidence=CONFIDENCE).fit(baskets)
-    verdict = F.element_at("consequent", 1)
-    sure = written(
-        model.associationRules.where(verdict.isin(*LABEL.values()) & (F.size("antecedent") <= RULE_TOKENS))
-        .select(F.sort_array("antecedent").alias("tokens"), F.substring(verdict, 2, 9).alias("verdict"), "confidence", "support")
-    )
-    parts = sure.select(
-        F.col("tokens").alias("_whole"), "verdict", F.col("confidence").alias("_sure"), F.explode(proper_parts(F.col("tokens"))).alias("tokens")
-    )
-    idle = parts.join(sure, ["tokens", "verdict"]).where("confidence >= _sure").select(F.col("_whole").alias("tokens"), "verdict")
-    kept = sure.join(idle, ["tokens", "verdict"], "left_anti").orderBy(
-        F.desc("confidence"), F.desc("support"), F.desc(F.size("tokens")), F.desc("verdict"), "tokens"
-    )
-    return [Rule(tuple(r["tokens"]), r["verdict"], r["confidence"], r["support"]) for r in kept.collect()]
+def counted(baskets: DataFrame, open_: set[tuple[str, ...]], size: int, least: float) -> list[Row]:
+    """tokens, n and b (rows in all, blocked ones) of every extension of ``open_`` in ``least`` rows or more."""
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple[str, ...], list[int]] = {}
 
-def proper_parts(items: Column) -> Column:
-    """Every non-empty part of a sorted array but the whole, each sorted."""
-    masks = F.sequence(F.lit(1), (F.shiftleft(F.lit(1), RULE_TOKENS) - 1).cast("int"))
+        def out() -> pd.DataFrame:
+            made = pd.DataFrame(
+                {"tokens": [list(t) for t in sums], "n": [v[0] for v in sums.values()], "b": [v[1] for v in sums.values()]}
+            )
+            sums.clear()
+            return made
+
+        for frame in frames:
+            for items, n, b in zip(frame["tokens"], frame["n"], frame["b"], strict=True):
+                known = sorted(t for t in items if size == 1 or (t,) in open_)
+                for combination in extensions(known, open_, size):
+                    have = sums.setdefault(combination, [0, 0])
+                    have[0] += n
+                    have[1] += b
+                    if len(sums) > COUNTED:
+                        yield out()
+        if sums:
+            yield out()
 
-    def chosen(mask: Column) -> Column:
-        return F.filter(items, lambda _, i: F.pmod(F.floor(mask / F.pow(F.lit(2), i)), F.lit(2)) == 1)
+    found = baskets.mapInPandas(run, "tokens array<string>, n long, b long")
+    return found.groupBy("tokens").agg(F.sum("n").alias("n"), F.sum("b").alias("b")).where(F.col("n") >= least).collect()
 
-    return F.filter(F.array_distinct(F.transform(masks, chosen)), lambda p: (F.size(p) > 0) & (F.size(p) < F.size(items)))
+
+def mine(labelled: DataFrame) -> list[Rule]:
+    """Rules from (tokens, label), surest first."""
+    blocked = F.count_if(F.col("label") == BLOCK)
+    baskets = written(
+        labelled.groupBy(F.sort_array(F.array_distinct("tokens")).alias("tokens")).agg(F.count("*").alias("n"), blocked.alias("b"))
+    )
+    n = baskets.agg(F.sum("n")).first()[0] or 0
+    least = max(SUPPORT * n, LEAST_ROWS)
+    rows: dict[tuple[str, ...], int] = {(): n}
+    sure: dict[tuple[tuple[str, ...], str], Rule] = {}
+    open_: set[tuple[str, ...]] = set()
+    for size in range(1, RULE_TOKENS + 1):
+        if n < least or (size > 1 and not open_):
+            break
+        for row in counted(baskets, set(open_), size, least):
+            tokens, seen = tuple(row["tokens"]), {BLOCK: row["b"], ALLOW: row["n"] - row["b"]}
+            rows[tokens] = row["n"]
+            if size > 1 and any(rows[p] == row["n"] for p in combinations(tokens, size - 1)):
+                continue
+            for verdict, k in seen.items():
+                if k >= least and k / row["n"] >= CONFIDENCE:
+                    sure[tokens, verdict] = Rule(tokens, verdict, k / row["n"], k / n)
+            if row["n"] < n and max(seen.values()) < row["n"]:
+                open_.add(tokens)
+    kept = [r for r in sure.values() if not any(p.confidence >= r.confidence for p in parts_of(r, sure))]
+    return sorted(kept, key=lambda r: (-r.confidence, -r.support, -len(r.tokens), r.verdict != BLOCK, r.tokens))
+
+
+def parts_of(rule: Rule, sure: dict[tuple[tuple[str, ...], str], Rule]) -> Iterator[Rule]:
+    """The rules for the same verdict that proper parts of the rule make."""
+    for size in range(1, len(rule.tokens)):
+        for part in combinations(rule.tokens, size):
+            if (part, rule.verdict) in sure:
+                yield sure[part, rule.verdict]
 
 
 # --------------------------------------------------------------------------- matching

@@ -105,6 +105,16 @@ def test_mining_equals_brute_force(spark):
     assert want and {(r.tokens, r.verdict) for r in got} == want
 
 
+def test_mining_leaves_out_no_token(spark):
+    """More frequent tokens than 512, and many in one URL: a rule of the least telling ones is still found."""
+    rows = [(["p", "q", *(f"t{i % 150}x{k}" for k in range(16))], url_rules.BLOCK) for i in range(3150)]
+    rows += [(["p", *(f"t{i % 150}x{k}" for k in range(16))], url_rules.ALLOW) for i in range(60)]
+    rows += [(["q", *(f"t{i % 150}y{k}" for k in range(2))], url_rules.ALLOW) for i in range(200)]
+    got = url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, label string"))
+    rules = {(r.tokens, r.verdict): r.confidence for r in got}
+    assert rules[("p", "q"), url_rules.BLOCK] == 1.0 and len({t for r in got for t in r.tokens}) > 512
+
+
 def test_index_finds_the_first_rule_that_fits():
     rng = random.Random(8)
     words = [f"w{i}" for i in range(12)]

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from corpusloom.llm.common import likely, only
+from corpusloom.llm.common import give_back, likely, only
 from corpusloom.session import written
 
 WORDS = 5
@@ -149,6 +149,8 @@ def sketches(text: Column) -> Column:
                 [pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(starts, flat)],
                 ["key", "n", "buckets"],
             )
+        known.clear()
+        give_back()
 
     return arrow_udf(run, "struct<key: binary, n: bigint, buckets: array<bigint>>")(text)
 
@@ -188,6 +190,7 @@ def squeezed(text: Column) -> Column:
         press = zstandard.ZstdCompressor().compress
         for texts in batches:
             yield pa.array([press((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in texts], pa.binary())
+        give_back()
 
     return arrow_udf(run, "binary")(text)
 
@@ -228,6 +231,9 @@ def compared(left: Column, right: Column, main: Column) -> Column:
                 [pa.array(scores, pa.float64()), pa.array(common, pa.int64()), pa.array(others, pa.list_(pa.int64()))],
                 ["s", "common", "others"],
             )
+        shingles.clear()
+        shingles.known.clear()
+        give_back()
 
     return arrow_udf(run, "struct<s: double, common: bigint, others: array<bigint>>")(left, right, main)
 

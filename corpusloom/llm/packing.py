@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from corpusloom.llm.common import give_back
 from corpusloom.session import written
 
 CAPACITY = 4096
@@ -39,6 +40,10 @@ GROUP = 150_000
 KNOWN_WORDS = 300_000
 #: Bytes of text whose new words are learnt together.
 BATCH_BYTES = 4_000_000
+#: Words that the tokenizer is given at once; what it returns takes far more memory than the ids.
+ENCODED_WORDS = 5_000
+#: Bytes of ids that are passed on at once.
+PASSED_BYTES = 4_000_000
 
 
 class Ids:
@@ -84,7 +89,9 @@ class Ids:
                 new.add(word)
         if new:
             ordered = list(new)
-            known.update(zip(ordered, self._encoded(ordered), strict=True))
+            for k in range(0, len(ordered), ENCODED_WORDS):
+                part = ordered[k : k + ENCODED_WORDS]
+                known.update(zip(part, self._encoded(part), strict=True))
         for word in marked:
             known[word] = known[word[:-1]] + self.marks[word[-1:]]
 
@@ -121,8 +128,7 @@ def pieces(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = (), capacity
     def run(batches):
         ids = ids_of(tokenizer)
         for batch in batches:
-            at, piece, data = [], [], []
-            size = 0
+            at, piece, data, size = [], [], [], 0
             for k, whole in enumerate(ids.of(batch.column("text").to_pylist())):
                 whole += end
                 for j, start in enumerate(range(0, len(whole), step)):
@@ -130,10 +136,11 @@ def pieces(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = (), capacity
                     piece.append(j)
                     data.append(whole[start : start + step])
                 size += len(whole)
-                if size > 1 << 25:
+                if size > PASSED_BYTES:
                     yield made(batch, at, piece, data)
                     at, piece, data, size = [], [], [], 0
             yield made(batch, at, piece, data)
+        give_back()
 
     def made(batch, at, piece, data):
         rows = batch.select(names).take(pa.array(at, pa.int64()))

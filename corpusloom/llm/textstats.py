@@ -7,12 +7,15 @@ tab, form feed and carriage return. A null text has no words.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql.functions import arrow_udf
 
+from corpusloom.llm.common import give_back
+
 WHITE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -124,7 +127,7 @@ SCHEMA = "struct<" + ", ".join(f"{c}: bigint" for c in COUNTS) + ", x: array<dou
 def column(text: Column) -> Column:
     """``measure`` of a text column as a struct; only the text travels to Python, in Arrow batches."""
 
-    def run(texts: pa.Array) -> pa.Array:
+    def measured(texts: pa.Array) -> pa.Array:
         done = [measure(t) for t in texts.to_pylist()]
         counts = np.array([c for c, _ in done], np.int64).reshape(len(done), len(COUNTS))
         flat = np.array([x for _, x in done], float).ravel()
@@ -132,4 +135,9 @@ def column(text: Column) -> Column:
         parts = [pa.array(counts[:, k]) for k in range(len(COUNTS))]
         return pa.StructArray.from_arrays([*parts, pa.ListArray.from_arrays(starts, flat)], [*COUNTS, "x"])
 
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield measured(texts)
+        give_back()
+
     return arrow_udf(run, SCHEMA)(text)

@@ -271,6 +271,16 @@ def test_a_worker_forgets_words_and_still_knows_them(monkeypatch):
     assert list(ids.of(texts)) == want and list(ids.of(texts)) == want
 
 
+def test_new_words_reach_the_tokenizer_in_bounded_lots(monkeypatch):
+    monkeypatch.setattr(packing, "ENCODED_WORDS", 40, raising=False)
+    ids, lots = packing.Ids(WORDS), []
+    encoded = ids._encoded
+    monkeypatch.setattr(ids, "_encoded", lambda words: lots.append(len(words)) or encoded(words))
+    text = " ".join(f"word{k}" for k in range(150))
+    whole = np.array(ids.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert list(ids.of([text])) == [whole] and sum(lots) == 150 and max(lots) <= 40
+
+
 def test_pipeline_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = {r.doc_id: r for r in docs.collect()}

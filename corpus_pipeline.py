@@ -20,7 +20,8 @@ from corpusloom.llm.common import prepare, table
 from corpusloom.session import drop_tables, recorded_tables, shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
+#: Words that a worker of the packing keeps, and bytes of text learnt together: little, beside an executor that earlier stages have filled.
+KNOWN_WORDS, BATCH_BYTES = 50_000, 1_000_000
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Tables that the stage before has stored.
@@ -71,7 +72,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @stage
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 4096 tokens and their places in the packed sequences."""
-    cut = packing.pieces(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    words = public_tokenizers.path("word_bpe_49k.json")
+    cut = packing.pieces(docs.select("doc_id", "text"), words, known=KNOWN_WORDS, batch_bytes=BATCH_BYTES)
     return packing.pack(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 

@@ -54,8 +54,9 @@ class Ids:
     is a pre-token of its own. Words met lately are kept when the store is begun anew.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, known: int | None = None, batch: int | None = None):
         self.tokenizer = Tokenizer.from_file(path)
+        self.most, self.batch = known or KNOWN_WORDS, batch or BATCH_BYTES
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
         self.marks = {m: self._encoded([m])[0] for m in (b".", b",")}
@@ -72,7 +73,7 @@ class Ids:
     def learn(self, words: set[bytes]) -> None:
         """Make all ``words`` known."""
         missing = words - self.known.keys()
-        if len(self.known) + len(missing) > KNOWN_WORDS:
+        if len(self.known) + len(missing) > self.most:
             self.before, self.known, missing = self.known, {}, words
         known, before = self.known, self.before
         marked, new = [], set()
@@ -100,7 +101,7 @@ class Ids:
         k = 0
         while k < len(texts):
             split, size, words = [], 0, set()
-            while k < len(texts) and size < BATCH_BYTES:
+            while k < len(texts) and size < self.batch:
                 data = (texts[k] or "").encode("utf-8", "surrogatepass")
                 split.append((data if b"<|" in data else data.lower()).split())
                 words.update(split[-1])
@@ -112,21 +113,30 @@ class Ids:
 
 
 @lru_cache(maxsize=1)
-def ids_of(path: str) -> Ids:
-    return Ids(path)
-
-
-def pieces(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = (), capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def ids_of(path: str, known: int | None = None, batch: int | None = None) -> Ids:
+    return Ids(path, known, batch)
+
+
+def pieces(
+    docs: DataFrame,
+    tokenizer: str,
+    keep: tuple[str, ...] = (),
+    capacity: int = CAPACITY,
+    end_id: int = END_ID,
+    known: int | None = None,
+    batch_bytes: int | None = None,
+) -> DataFrame:
     """doc_id, the columns in ``keep``, piece, start, length, ids (binary, 4 bytes each).
 
-    ``tokenizer`` is the path of a vocabulary file that every executor has.
+    ``tokenizer`` is the path of a vocabulary file that every executor has. ``known`` words stay in a worker's store and
+    the new words of ``batch_bytes`` of text are learnt together; fewer take less memory and more time, never other ids.
     """
     end = np.array([end_id], "<u4").tobytes()
     step = 4 * capacity
     names = ["doc_id", *[c for c in keep if c != "doc_id"]]
 
     def run(batches):
-        ids = ids_of(tokenizer)
+        ids = ids_of(tokenizer, known, batch_bytes)
         for batch in batches:
             at, piece, data, size = [], [], [], 0
             for k, whole in enumerate(ids.of(batch.column("text").to_pylist())):

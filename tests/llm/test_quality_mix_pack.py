@@ -271,6 +271,16 @@ def test_a_worker_forgets_words_and_still_knows_them(monkeypatch):
     assert list(ids.of(texts)) == want and list(ids.of(texts)) == want
 
 
+def test_a_small_store_stays_small_and_gives_the_same_ids():
+    texts = [" ".join(f"word{(7 * k + j) % 900}" for j in range(20)) + "." for k in range(200)]
+    ids, kept, got = packing.Ids(WORDS, known=60, batch=100), [], []
+    for found in ids.of(texts):
+        got.append(found)
+        kept.append(max(len(ids.known), len(ids.before)))
+    assert got == list(packing.Ids(WORDS).of(texts)) and max(kept) <= 80  # the words of a text may come on top
+    assert corpus_pipeline.KNOWN_WORDS < packing.KNOWN_WORDS
+
+
 def test_new_words_reach_the_tokenizer_in_bounded_lots(monkeypatch):
     monkeypatch.setattr(packing, "ENCODED_WORDS", 40, raising=False)
     ids, lots = packing.Ids(WORDS), []

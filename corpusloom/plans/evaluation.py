@@ -29,7 +29,7 @@ def ranked_documents(hits: DataFrame, chunks: DataFrame, rank: str) -> DataFrame
 def bm25_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexical search of every question, judged by the documents holding its passage."""
     st, q = r.store(spark, sf_dir), w.questions(spark, sf_dir)
-    hits = lexical.bm25_search(st.index, q)
+    hits = lexical.bm25_search(st.searched, q)
     retrieved = ranked_documents(hits, st.terms, "bm25_rank")
     return evaluate.retrieval_metrics(q, retrieved, r.gold_documents(spark, sf_dir))
 

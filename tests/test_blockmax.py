@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.config import DEFAULTS, Options
-from corpusloom.operators import blockmax, lexical
+from corpusloom.operators import blockmax, lexical, packed
+from corpusloom.plans import retrieval
 from corpusloom.session import written
 
 TOKENS = "tenant_id string, document_id string, chunk_id string, tokens array<string>, doc_len int"
@@ -171,3 +172,35 @@ def test_chunks_with_a_term(spark, tokens, stored):
 def test_an_empty_index_answers_nothing(spark):
     index = lexical.stored_index(spark.createDataFrame([], TOKENS))
     assert best(index, asked(spark, "w1")) == []
+
+
+@pytest.mark.parametrize("chunks, held, span", [(2048, 32_768, 64), (50, 120, 7), (1, 2, 1)])
+def test_packed_search_finds_what_the_index_finds(spark, tokens, stored, monkeypatch, chunks, held, span):
+    """Ties at the twelfth place included; questions without a known term and tenants without chunks give nothing."""
+    monkeypatch.setattr(packed, "SPAN", span)
+    monkeypatch.setattr(packed, "CHUNKS", chunks)
+    rows = tokens.toArrow().select(TOKENS_ORDER)
+    monkeypatch.setattr(packed, "HELD", held)
+    batches = list(packed.packed_blocks(rows.to_batches(max_chunksize=97)))
+    assert sum(len(b["chunks"][0]) for b in batches) == 1500 and max(len(b["chunks"][0]) for b in batches) <= chunks
+    packs = written(spark.createDataFrame(pa.Table.from_batches(batches), packed.PACKED))
+    terms = asked(spark, *QUESTIONS)
+    assert best(lexical.Packs(packs), terms) == best(stored, terms) != []
+
+
+TOKENS_ORDER = ["tenant_id", "document_id", "chunk_id", "tokens", "doc_len"]
+
+
+def test_packing_and_its_search_move_no_chunks(spark, tokens):
+    packs = lexical.stored_packs(tokens)
+    assert best(packs, asked(spark, *QUESTIONS)) == best(lexical.inverted_index(tokens), asked(spark, *QUESTIONS))
+    frequencies = {tuple(r) for r in lexical.document_frequency(lexical.bm25_postings(tokens)).collect()}
+    terms = asked(spark, "comum w1 w399 ausente")
+    found = {tuple(r) for r in packed.document_frequency(packs.packs, terms).collect()}
+    assert found == {f for f in frequencies if f[1] in ("comum", "w1", "w399")}
+    assert best(lexical.stored_packs(tokens.limit(0)), terms) == []
+
+
+def test_a_search_by_words_stores_no_index(spark, sf):
+    st = retrieval.Snapshot(spark, sf)
+    assert isinstance(st.searched, lexical.Packs) and not st.has("index") and not st.has("chunks")

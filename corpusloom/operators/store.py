@@ -107,10 +107,17 @@ def list_documents(stored: DataFrame) -> DataFrame:
 
 
 def knowledge_base_status(stored: DataFrame) -> DataFrame:
-    """Documents, chunks, indexed chunks and unverified documents per tenant, and in all."""
+    """Documents, chunks, indexed chunks and unverified documents per tenant, and in all.
+
+    A chunk is indexed if it has terms: those in ``tokens``, or else those that its text gives.
+    """
+    if "tokens" in stored.columns:
+        stored = stored.withColumn("_has_terms", F.size("tokens") > 0)
+    else:
+        stored = T.with_has_terms(stored, "text", "_has_terms")
     docs = stored.groupBy(*DOC).agg(
         F.count("*").alias("chunks"),
-        F.count_if(F.size("tokens") > 0).alias("indexed"),
+        F.count_if("_has_terms").alias("indexed"),
         F.min_by("status", "chunk").alias("status"),
     )
     return docs.rollup("tenant_id").agg(

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as T
 from corpusloom.operators import audit, evaluate, graph, store, telemetry
 
 
@@ -106,6 +107,32 @@ def test_status_update_rewrites_the_header(spark):
         store.apply_status_updates(rows, bad).collect()
 
 
+def test_status_counts_indexed_chunks_with_and_without_terms(spark):
+    texts = ["Art. 5", "de da", "", "ação", "é", "٣/١٩٩٠", "o 7", None, "É de DA", "dade", "da1", "-", "артикул", "para x"]
+    rows = [("t", f"d{i % 3}", i, "vigente_confirmada", x) for i, x in enumerate(texts)]
+    plain = spark.createDataFrame(rows, "tenant_id string, document_id string, chunk int, status string, text string")
+    with_terms = T.with_tokens(plain, "text")
+    a, b = (sorted(map(str, store.knowledge_base_status(x).collect())) for x in (plain, with_terms))
+    each = T.with_has_terms(with_terms, "text", "has").select("text", "has", (F.size("tokens") > 0).alias("want")).collect()
+    assert a == b and all(bool(r["has"]) == bool(r["want"]) for r in each) and {r["has"] for r in each} >= {True, False}
+
+
+@pytest.mark.parametrize("name", ["knowledge_base_status", "write_report"])
+def test_status_queries_match_sql(spark, sf, name):
+    import duckdb
+
+    import __spark_entry__ as entry
+    from tools.compare import TABLES, rows
+
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    df = entry.queries()[name](spark, sf)
+    cur = con.execute(entry.oracle_sql()[name])
+    names = [c[0] for c in cur.description]
+    assert rows(map(tuple, df.collect()), df.columns) == rows(cur.fetchall(), names)
+
+
 def test_prune_keeps_the_cutoff(spark):
     e = spark.sql("select explode(sequence(timestamp'2024-01-01', timestamp'2024-01-03', interval 1 day)) created_at")
     assert telemetry.prune_expired(e, "2024-01-02").count() == 2 and telemetry.prune_expired(e, None).count() == 3

@@ -19,10 +19,11 @@ from corpusloom.session import written
 TQ = ["tenant_id", "query_id"]
 
 
-def ranked_documents(hits: DataFrame, chunks: DataFrame, rank: str) -> DataFrame:
-    names = chunks.select("tenant_id", "chunk_id", F.col("filename").alias("document"))
-    return hits.select(*TQ, "chunk_id", F.col(rank).alias("rank")).join(
-        names, ["tenant_id", "chunk_id"]
+def ranked_documents(hits: DataFrame, documents: DataFrame, rank: str) -> DataFrame:
+    """The file names of a ranking's chunks; ``documents`` has one row per document."""
+    names = documents.select("tenant_id", "document_id", F.col("filename").alias("document"))
+    return hits.select(*TQ, "document_id", F.col(rank).alias("rank")).join(
+        names, ["tenant_id", "document_id"]
     ).select(*TQ, "rank", "document")
 
 
@@ -30,7 +31,7 @@ def bm25_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexical search of every question, judged by the documents holding its passage."""
     st, q = r.store(spark, sf_dir), w.questions(spark, sf_dir)
     hits = lexical.bm25_search(st.searched, q)
-    retrieved = ranked_documents(hits, st.terms, "bm25_rank")
+    retrieved = ranked_documents(hits, st.meta, "bm25_rank")
     return evaluate.retrieval_metrics(q, retrieved, r.gold_documents(spark, sf_dir))
 
 

@@ -358,3 +358,51 @@ def test_audits_cut_only_the_documents_that_answers_cite(spark, sf):
     cited = w.answers(spark, sf).select("tenant_id", "document_id").distinct()
     meant = whole.join(cited, ["tenant_id", "document_id"], "left_semi").select(*mine.columns)
     assert mine.count() == meant.count() < whole.count() and mine.exceptAll(meant).isEmpty()
+
+
+def test_search_by_words_stores_blocks_and_no_terms(spark, sf):
+    st = r.Snapshot(spark, sf)
+    packs = st.packs.packs
+    assert st.has("meta") and not any(st.has(p) for p in ("terms", "chunks", "described", "index"))
+    terms = {tuple(row) for row in st.terms.select("tenant_id", "chunk_id", F.size("tokens")).collect()}
+    held = packs.select("tenant_id", F.explode(F.arrays_zip("chunks", "lens")).alias("c")).select("tenant_id", "c.chunks", "c.lens")
+    assert {tuple(row) for row in held.collect()} == {row for row in terms if row[2] > 0}
+
+
+def test_large_blocks_lie_in_small_row_groups(spark):
+    import pyarrow.parquet as pq
+    from corpusloom.operators import packed
+
+    rows = spark.range(70_000, numPartitions=1).select(
+        F.lit("t").alias("tenant_id"), F.lit("d").alias("document_id"), F.col("id").cast("string").alias("chunk_id"),
+        F.array(F.lit("a")).alias("tokens"), F.lit(1).alias("doc_len"),
+    )
+    packs = packed.stored_packs(rows)
+    files = [pq.ParquetFile(f.removeprefix("file:").removeprefix("//")).metadata for f in packs.inputFiles()]
+    groups = [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)]
+    assert sum(groups) == packs.count() > packed.GROUP >= max(groups)
+
+
+def test_snapshot_stores_no_text_twice(spark, sf):
+    from corpusloom.plans import ingestion as ing
+
+    st = r.Snapshot(spark, sf)
+    chunks = st.described
+    want = ing.indexed_chunks(spark, sf)
+    assert want.select("chunk_id", "text", "body").exceptAll(chunks.select("chunk_id", "text", "body")).isEmpty()
+    stored = {name for f in chunks.inputFiles() for name in spark.read.parquet(f).columns}
+    assert "text" in stored and "body" not in stored
+    heads = ing.metadata(spark, sf).select("tenant_id", "document_id", "head_text")
+    kept = st.meta.where("head_text is not null")
+    assert 0 < kept.count() < heads.count()
+    whole = r.topics_of(heads)
+    assert whole.exceptAll(st.topics.select(*whole.columns)).isEmpty() and st.topics.exceptAll(whole).isEmpty()
+
+
+def test_gold_documents_of_short_and_long_passages(spark, tmp_path):
+    docs = [(1, "um dois tres quatro cinco seis", "s"), (2, "zero um dois", "s"), (3, "um doisx", "s"), (4, "um  dois tres quatro cinco", "s"), (5, None, "s")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    asked = [(1, "um dois tres quatro cinco"), (2, "um dois"), (3, " "), (4, "nada"), (5, None)]
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((x["query_id"], x["gold"]) for x in r.gold_documents(spark, str(tmp_path)).collect())
+    assert got == [(1, "doc1.md"), (2, "doc1.md"), (2, "doc2.md"), (2, "doc4.md")]

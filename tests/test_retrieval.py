@@ -406,3 +406,23 @@ def test_gold_documents_of_short_and_long_passages(spark, tmp_path):
     spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = sorted((x["query_id"], x["gold"]) for x in r.gold_documents(spark, str(tmp_path)).collect())
     assert got == [(1, "doc1.md"), (2, "doc1.md"), (2, "doc2.md"), (2, "doc4.md")]
+
+
+def test_near_duplicate_chunks_move_only_hashes_of_rare_terms(spark):
+    common = [f"c{i}" for i in range(40)]
+    rows = [("t" if i % 2 else "u", f"k{i:03d}", [*common, f"r{i // 4}", *(f"x{i}" for _ in range(i % 3))]) for i in range(200)]
+    rows += [("t", "one", ["a"]), ("t", "two", ["a", "a"]), ("u", "none", [])]
+    df = spark.createDataFrame(rows, "tenant_id string, chunk_id string, tokens array<string>")
+    classes = neighbours.term_classes(df).select("tenant_id", F.col("representative").alias("id"), "terms")
+    keys = neighbours.rarest_keys(classes.withColumn("no", F.monotonically_increasing_id()), 0.9)
+    sizes = {(x["n"], len(x["keys"])) for x in keys.collect()}
+    assert sizes <= {(n, n - math.ceil(n * 0.9 - 1e-9) + 1) for n in range(1, 60)} and max(s[1] for s in sizes) < 7
+    sets = {(t, c): set(k) for t, c, k in rows if k}
+    first = {}
+    for (t, c), k in sorted(sets.items()):
+        first.setdefault((t, frozenset(k)), c)
+    want = {
+        (t, min(c, e), max(c, e)) for (t, k), c in first.items() for (s, o), e in first.items()
+        if t == s and c < e and len(k & o) / len(k | o) >= 0.9
+    }
+    assert {(x["tenant_id"], x["left_id"], x["right_id"]) for x in neighbours.near_duplicate_chunks(df).collect()} == want != set()

@@ -14,7 +14,7 @@ from corpusloom.operators import chunking, evaluate, fusion, lexical, planning
 from corpusloom.plans import ingestion as ing
 from corpusloom.plans import retrieval as r
 from corpusloom.plans import workload as w
-from corpusloom.session import written
+from corpusloom.session import drop_tables, recorded_tables, written
 
 TQ = ["tenant_id", "query_id"]
 
@@ -178,10 +178,9 @@ def parameter_sweep(spark: SparkSession, sf_dir: str, options: Options = DEFAULT
     same pass over the candidates of the stored snapshot's own chunking.
     """
     grid = evaluate.build_grid()
-    pages = written(w.corpus_pages(spark, sf_dir))
-    blocks = written(
-        chunking.segment_blocks(chunking.carry_context(chunking.classify_lines(chunking.page_lines(pages))))
-    )
+    lines = chunking.page_lines(w.corpus_pages(spark, sf_dir))
+    with recorded_tables() as cut:
+        blocks = written(chunking.segment_blocks(chunking.carry_context(chunking.classify_lines(lines))))
     made = None
     for size, overlap in sorted({(c, o) for c, o, _, _ in grid}):
         cell = replace(options, chunk_chars=size, overlap_chars=overlap)
@@ -190,6 +189,9 @@ def parameter_sweep(spark: SparkSession, sf_dir: str, options: Options = DEFAULT
             F.lit(size).alias("chunk_chars"), F.lit(overlap).alias("chunk_overlap_chars"), "chunks", "longest"
         )
         made = count if made is None else made.unionByName(count)
+    # The blocks have been counted and make room for the search.
+    made = written(made)
+    drop_tables(spark, cut)
     st, q = r.store(spark, sf_dir), w.questions(spark, sf_dir)
     found = r.candidates(st, q, options=options).select(
         *TQ, "vector_score", "exact_reference", "lexical_score"

@@ -426,3 +426,21 @@ def test_near_duplicate_chunks_move_only_hashes_of_rare_terms(spark):
         if t == s and c < e and len(k & o) / len(k | o) >= 0.9
     }
     assert {(x["tenant_id"], x["left_id"], x["right_id"]) for x in neighbours.near_duplicate_chunks(df).collect()} == want != set()
+
+
+def test_rankings_are_stored_before_chunks_meet_them(spark, sf):
+    st, q = r.store(spark, sf), w.questions(spark, sf).limit(20)
+    lists = r.ranked_lists(st, q)
+    plan = r.fuse_lists(st, q, lists)._jdf.queryExecution().optimizedPlan().toString()
+    assert "rrf_score" in plan and "share" not in plan
+
+
+def test_sweep_drops_its_blocks_before_it_searches(spark, sf):
+    from corpusloom.operators import evaluate
+    from corpusloom.session import exists, recorded_tables
+
+    r.store(spark, sf).whole()
+    with recorded_tables() as paths:
+        out = ev.parameter_sweep(spark, sf)
+    gone = [p for p in paths if not exists(spark, p)]
+    assert len(gone) == 1 and out.count() == len(evaluate.build_grid())
